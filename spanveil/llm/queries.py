@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .media import op9_media
 from .packing import op2_packing
 from .token_counts import op7_token_counts
+from .training_order import op10_training_order
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": op2_packing,
         "op7_token_counts": op7_token_counts,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_media": op9_media,
+        "op10_training_order": op10_training_order,
     }
 
 
