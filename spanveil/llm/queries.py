@@ -10,12 +10,14 @@ from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .media import op9_media
 from .packing import op2_packing
 from .token_counts import op7_token_counts
+from .toxicity import op5_toxicity
 from .training_order import op10_training_order
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": op2_packing,
+        "op5_toxicity": op5_toxicity,
         "op7_token_counts": op7_token_counts,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_media": op9_media,
