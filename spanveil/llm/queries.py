@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .media import op9_media
+from .near_dedup import op6_near_dedup
 from .packing import op2_packing
 from .token_counts import op7_token_counts
 from .toxicity import op5_toxicity
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": op2_packing,
         "op5_toxicity": op5_toxicity,
+        "op6_near_dedup": op6_near_dedup,
         "op7_token_counts": op7_token_counts,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_media": op9_media,
