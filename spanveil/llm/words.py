@@ -1,13 +1,15 @@
 """Token ids of whole texts, one lookup for each word.
 
 A tokenizer whose pre-tokens never hold white space gives the same ids for a text as for its
-words in turn.  So each distinct word is encoded once by the library and looked up after that;
-texts with characters on which Python and the library disagree about white space go to the
-library whole.
+words in turn.  So each distinct word is encoded once and looked up after that.  Words of common
+letters, digits and signs are cut into pre-tokens here, and each distinct pre-token goes to the
+library's byte-pair model; all other words, and texts with characters on which Python and the library disagree about
+white space, go to the library whole.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 #: Characters at which str.split() cuts but the tokenizer's \s may not.
@@ -16,37 +18,71 @@ ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85")
 LONG_WORD = 64
 #: Longer texts are looked up in parts, cut at white space.
 PART = 1 << 20
+#: Words that are cut here, and how the tokenizer's file says they are cut.
+COMMON = re.compile(r"[!-~À-ÖØ-öø-įĴ-ň]+")
+PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zÀ-ÖØ-öø-ň]+|[0-9]|[!-/:-@\[-`{-~]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte: itself if printable, else one from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class WordEncoder:
-    """Ids as little-endian unsigned 32-bit bytes. keep: the most words remembered at a time."""
+    """Ids as little-endian unsigned 32-bit bytes. keep: the most words of either generation remembered at a time."""
 
     def __init__(self, path: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.keep, self.known = keep, {}
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.keep = keep
+        self.words, self.older = {}, {}
+        self.tokens: dict[str, bytes] = {}
+
+    def _library(self, text: str) -> bytes:
+        import numpy as np
+
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _token(self, token: str) -> bytes:
         import numpy as np
 
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        written = token if token.isascii() else token.encode().decode("latin-1").translate(self.letters)
+        found = np.array([t.id for t in self.model.tokenize(written)], dtype="<u4").tobytes()
+        if len(self.tokens) > self.keep:
+            self.tokens.clear()
+        if len(token) <= LONG_WORD:
+            self.tokens[token] = found
+        return found
+
+    def _new(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            if COMMON.fullmatch(word) and not ("<|" in word and any(s in word for s in self.specials)):
+                tokens = self.tokens
+                found = b"".join([tokens.get(t) or self._token(t) for t in PRETOKEN.findall(word.lower())])
+            else:
+                found = self._library(word)
+        if len(word) <= LONG_WORD:
+            if len(self.words) > self.keep:
+                self.words, self.older = {}, self.words
+            self.words[word] = found
+        return found
 
     def _part(self, text: str) -> bytes:
         if any(c in text for c in ODD_SPACES):
-            return self._encode([text])[0]
+            return self._library(text)
         words = text.split()
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(known) > self.keep:
-            known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        found = dict(zip(new, self._encode(new), strict=True))
-        known.update((w, b) for w, b in found.items() if len(w) <= LONG_WORD)
-        return b"".join(found[w] if w in found else known[w] for w in words)
+        found = list(map(self.words.get, words))
+        if None in found:
+            for k, b in enumerate(found):
+                if b is None:
+                    found[k] = self.words.get(words[k]) or self._new(words[k])
+        return b"".join(found)
 
     def encode(self, text: str) -> bytes:
         if len(text) <= PART:
