@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .media import op9_media
+from .mixing import op1_mixing
 from .near_dedup import op6_near_dedup
 from .packing import op2_packing
 from .token_counts import op7_token_counts
@@ -17,6 +18,7 @@ from .training_order import op10_training_order
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": op1_mixing,
         "op2_packing": op2_packing,
         "op5_toxicity": op5_toxicity,
         "op6_near_dedup": op6_near_dedup,
