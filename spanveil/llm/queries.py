@@ -11,6 +11,7 @@ from .media import op9_media
 from .mixing import op1_mixing
 from .near_dedup import op6_near_dedup
 from .packing import op2_packing
+from .quality import op4_quality
 from .token_counts import op7_token_counts
 from .toxicity import op5_toxicity
 from .training_order import op10_training_order
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_packing": op2_packing,
+        "op4_quality": op4_quality,
         "op5_toxicity": op5_toxicity,
         "op6_near_dedup": op6_near_dedup,
         "op7_token_counts": op7_token_counts,
