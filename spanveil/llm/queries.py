@@ -12,6 +12,7 @@ from .mixing import op1_mixing
 from .near_dedup import op6_near_dedup
 from .packing import op2_packing
 from .quality import op4_quality
+from .suffix_dedup import op3_suffix_dedup
 from .token_counts import op7_token_counts
 from .toxicity import op5_toxicity
 from .training_order import op10_training_order
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op2_packing": op2_packing,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_quality": op4_quality,
         "op5_toxicity": op5_toxicity,
         "op6_near_dedup": op6_near_dedup,
