@@ -89,7 +89,8 @@ def ner_spans(model: str, wanted: set[str], seq: int):
                 out.append(([], f"NERDetector did not run: {e}"))
         return pd.DataFrame(out, columns=["spans", "warning"])
 
-    return find
+    # a model is asked once for each text: the optimizer must not repeat the call
+    return find.asNondeterministic()
 
 
 def find_with_llm(backend: Backend, layer: ModelLayer, text: str, candidates: list[dict] | None, seen: dict[str, tuple[float, list]]) -> tuple[list[tuple], str | None]:
@@ -130,4 +131,5 @@ def llm_spans(layer: ModelLayer, seq: int):
             out.append(([{"entity_type": k, "text": v, "start": a, "end": b, "confidence": MODEL, "seq": seq} for k, v, a, b in rows], warning))
         return pd.DataFrame(out, columns=["spans", "warning"])
 
-    return find
+    # a model is asked once for each text: the optimizer must not repeat the call
+    return find.asNondeterministic()

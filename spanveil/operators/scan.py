@@ -178,7 +178,8 @@ def scan(df: DataFrame, policy: Policy, text_col: str = "text", out_col: str = "
 
 def violations(scanned: DataFrame, *keep: str, scan_col: str = "scan") -> DataFrame:
     """A row for each violation, with the columns to keep."""
-    rows = scanned.select(*keep, F.explode(f"{scan_col}.violations").alias("v"))
+    # the outer form, or Catalyst would infer a filter on the array and evaluate the whole scan in it once more
+    rows = scanned.select(*keep, F.explode_outer(f"{scan_col}.violations").alias("v")).filter("v IS NOT NULL")
     return rows.select(*keep, "v.entity_type", "v.original", "v.start", "v.end", "v.action", "v.replacement", "v.confidence")
 
 
