@@ -19,6 +19,7 @@ from ..functions.spans import SPANS
 from ..functions.text import chunk_by_paragraph, like_a_person, locate_findings, only_stopwords, parse_findings
 from ..plans.policy import ModelLayer
 from ..sources.backends import Backend, backend_of
+from ..sources.catalog import check_model_name
 from ..sources.prompts import findings_prompt
 
 #: From texts to lists of (label, start, end).
@@ -37,6 +38,8 @@ def register_ner_model(name: str, load: Callable[[], NerModel]) -> None:
 def spacy_model(name: str) -> Callable[[], NerModel]:
     """A loader for an installed spaCy model."""
 
+    check_model_name(name)
+
     def load() -> NerModel:
         import spacy
 
@@ -46,6 +49,36 @@ def spacy_model(name: str) -> Callable[[], NerModel]:
     return load
 
 
+#: From a text to (entity type, start, end, confidence) of what it holds.
+Detector = Callable[[str], list[tuple[str, int, int, float]]]
+_detectors: dict[str, Detector] = {}
+_answers: dict[str, tuple[float, list]] = {}
+
+
+def register_detector(name: str, detect: Detector) -> None:
+    """A detector of one's own; whatever it reports takes part in the resolution of overlaps."""
+    _detectors[name] = detect
+
+
+def detector_spans(name: str, seq: int):
+    if name not in _detectors:
+        raise PolicyError(f"unknown detector {name!r}; known: {sorted(_detectors)}")
+    detect = _detectors[name]
+
+    @F.pandas_udf(LAYER)
+    def find(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            try:
+                found = detect(t) if t is not None else []
+                out.append(([{"entity_type": k, "text": t[a:b], "start": a, "end": b, "confidence": float(c), "seq": seq} for k, a, b, c in found], None))
+            except Exception as e:  # noqa: BLE001
+                out.append(([], f"{name} did not run: {e}"))
+        return pd.DataFrame(out, columns=["spans", "warning"])
+
+    return find.asNondeterministic()
+
+
 def python_pattern_spans(entries: list[tuple[str, str, float]], seq: int):
     """entries: (entity type, pattern, confidence). Patterns have been checked when the policy was made."""
     import re
@@ -100,7 +133,7 @@ def find_with_llm(backend: Backend, layer: ModelLayer, text: str, candidates: li
         return [], None
     given = candidates if layer.adjudicate else None
     parts = sorted((c["start"], c["end"], c["entity_type"]) for c in given or [])
-    key = hashlib.md5(repr((text, parts)).encode("utf-8", "replace"), usedforsecurity=False).hexdigest()
+    key = hashlib.md5(repr((layer.backend, layer.model, sorted(wanted), text, parts)).encode("utf-8", "replace"), usedforsecurity=False).hexdigest()
     if layer.cache_ttl and key in seen and seen[key][0] > time.time():
         return seen[key][1], None
     spans, warning = [], None
@@ -125,9 +158,9 @@ def llm_spans(layer: ModelLayer, seq: int):
 
     @F.pandas_udf(LAYER)
     def find(texts: pd.Series, candidates: pd.Series) -> pd.DataFrame:
-        backend, seen, out = make(), {}, []
+        backend, out = make(), []
         for t, c in zip(texts, candidates, strict=True):
-            rows, warning = ([], None) if t is None else find_with_llm(backend, layer, t, None if c is None else list(c), seen)
+            rows, warning = ([], None) if t is None else find_with_llm(backend, layer, t, None if c is None else list(c), _answers)
             out.append(([{"entity_type": k, "text": v, "start": a, "end": b, "confidence": MODEL, "seq": seq} for k, v, a, b in rows], warning))
         return pd.DataFrame(out, columns=["spans", "warning"])
 

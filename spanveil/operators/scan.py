@@ -16,7 +16,7 @@ from ..functions import spans as sp
 from ..functions.fixed import ADJUDICATION_KEEPS, PATTERNS
 from ..functions.patterns import GATES, JAVA, JAVA_URI
 from ..plans.policy import Policy
-from .layers import llm_spans, ner_spans, python_pattern_spans
+from .layers import detector_spans, llm_spans, ner_spans, python_pattern_spans
 
 RESULT = f"struct<original_text:string,sanitized_text:string,is_clean:boolean,scan_error:string,warnings:array<string>,violations:{act.VIOLATIONS}>"
 
@@ -128,6 +128,11 @@ def raw_spans(df: DataFrame, policy: Policy) -> DataFrame:
         columns.append(F.col(f"_ner{k}.spans"))
         warnings.append(F.col(f"_ner{k}.warning"))
     seq += len(policy.ner_models)
+    for k, name in enumerate(policy.detectors):
+        df = df.withColumn(f"_own{k}", detector_spans(name, seq + k)(text))
+        columns.append(F.col(f"_own{k}.spans"))
+        warnings.append(F.col(f"_own{k}.warning"))
+    seq += len(policy.detectors)
     if policy.llm.enabled:
         candidates = F.concat(*columns) if columns else sp.no_spans()
         df = df.withColumn("_candidates", F.when(text.isNotNull(), candidates)).withColumn("_llm", llm_spans(policy.llm, seq)(text, F.col("_candidates")))

@@ -61,6 +61,7 @@ class Policy:
     propagate_min_length: int = fixed.PROPAGATE_MIN_LENGTH
     fold: bool = True
     ner_models: tuple[str, ...] = ()
+    detectors: tuple[str, ...] = ()
     llm: ModelLayer = field(default_factory=ModelLayer)
 
     # entities
@@ -167,6 +168,16 @@ class Policy:
             raise PolicyError("name at least one model")
         return replace(self, ner_models=tuple(dict.fromkeys((*self.ner_models, *models))))
 
+    def with_ner_language(self, *codes: str, size: str = "sm") -> Policy:
+        """The catalogue's models of these languages (ISO 639-1)."""
+        from ..sources.catalog import ner_model
+
+        return self.with_ner(*[ner_model(c, size).name for c in codes])
+
+    def with_detector(self, *names: str) -> Policy:
+        """Detectors of one's own, registered with layers.register_detector."""
+        return replace(self, detectors=tuple(dict.fromkeys((*self.detectors, *names))))
+
     def with_llm(self, **settings: Any) -> Policy:
         out = replace(self, llm=replace(self.llm, enabled=True, **settings))
         _check_llm(out.llm)

@@ -6,17 +6,21 @@ import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
+from ..errors import ModelError
 from .backends import Backend, Messages
 
 
 @dataclass
 class DryRunBackend(Backend):
-    """phrases: entity type by phrase. signs: what makes a text sensitive."""
+    """phrases: entity type by phrase. signs: what makes a text sensitive. failing: what it fails with, if it is to."""
 
     phrases: Mapping[str, str] = field(default_factory=dict)
     signs: tuple[str, ...] = ("@",)
+    failing: str = ""
 
     def complete(self, messages: Messages) -> str:
+        if self.failing:
+            raise ModelError(self.failing)
         task, text = messages[0]["content"], messages[-1]["content"]
         if "JSON" in task:
             return "Here they are:\n```json\n" + json.dumps([{"type": k, "text": p} for p, k in self.phrases.items() if p in text]) + "\n```"

@@ -1,10 +1,11 @@
 import pytest
 
-from spanveil.errors import PolicyError
+from spanveil.errors import ModelError, PolicyError, UnsupportedLanguageError
 from spanveil.functions.fixed import ALL_ENTITIES, ENTITIES
 from spanveil.functions.text import chunk_by_paragraph, like_a_person, locate_findings, only_stopwords, parse_findings, parse_sensitivity
 from spanveil.plans.policy import Policy, backtracks, entity_group, supported_entities
-from spanveil.sources.backends import check_address
+from spanveil.sources.backends import Backend, check_address
+from spanveil.sources.catalog import ModelManager, check_model_name, ner_model, supported_languages
 
 
 def test_entities():
@@ -91,3 +92,32 @@ def test_addresses():
         with pytest.raises(PolicyError):
             check_address(url, allow)
     assert check_address("http://x.org", True)
+
+
+def test_catalogue():
+    assert supported_languages() == ["de", "en", "es", "fr", "it", "nl", "pt", "tr"]
+    assert ner_model("en", "lg").name == "en_core_web_lg" and ner_model("pt", "md").name == "pt_core_news_sm" and ner_model("tr").name == "tr_core_news_md" and ner_model("tr", "trf").name == "tr_core_news_md"
+    assert Policy().with_ner_language("en", "de", "en").ner_models == ("en_core_web_sm", "de_core_news_sm")
+    with pytest.raises(UnsupportedLanguageError):
+        ner_model("xx")
+    with pytest.raises(ModelError):
+        check_model_name("en; rm -rf /")
+
+
+class Shelf(Backend):
+    def __init__(self):
+        self.models = ["a"]
+
+    def list_models(self):
+        return self.models
+
+    def pull_model(self, model):
+        yield {"status": "half", "percent": 50.0}
+        self.models.append(model)
+
+
+def test_model_manager():
+    seen = []
+    assert ModelManager(Shelf()).ensure("a") and not ModelManager(Shelf()).ensure("b")
+    assert ModelManager(Shelf(), agree=lambda m: True).ensure("b", seen.append) and seen[0]["percent"] == 50.0
+    assert ModelManager.known()[0] == "llama3.1:8b" and set(ModelManager.known(2.5)) == {"llama3.2:3b", "phi3:mini", "meta-llama/Llama-3.2-1B-Instruct"}

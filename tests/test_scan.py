@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from spanveil.errors import ModelError, PolicyError
 from spanveil.functions import actions
 from spanveil.functions.fixed import PATTERNS
-from spanveil.operators.layers import register_ner_model
+from spanveil.operators.layers import register_detector, register_ner_model
 from spanveil.operators.scan import filter_has_entity, reapply, redacted, scan, violations
 from spanveil.operators.sensitivity import is_sensitive
 from spanveil.plans.policy import Policy
-from spanveil.sources.backends import Backend, use_backend
+from spanveil.sources.backends import use_backend
 from spanveil.sources.dry_run import DryRunBackend
 
 
@@ -112,14 +112,9 @@ def test_a_failing_model_is_a_warning(spark):
     assert r.warnings == ["NERDetector did not run: no such model"] and r.is_clean
 
 
-class Broken(Backend):
-    def complete(self, messages):
-        raise ModelError("down")
-
-
 def test_the_gate_fails_closed(spark):
     df = spark.createDataFrame([("hello",)], "text string")
-    use_backend("ollama", Broken)
+    use_backend("ollama", lambda: DryRunBackend(failing="down"))
     with pytest.raises(Exception, match="down"):
         is_sensitive(df, Policy().with_llm()).collect()
     assert one(spark, "hello", Policy().with_llm()).warnings == ["LLMDetector did not run: down"]
@@ -161,3 +156,12 @@ def test_adversarial_texts_take_linear_time(spark):
         began = time.time()
         one(spark, text, everything())
         assert time.time() - began < 60
+
+
+def test_detectors_of_ones_own(spark):
+    register_detector("colours", lambda t: [("COLOUR", t.index("red"), t.index("red") + 3, 0.5)])
+    policy = Policy().with_detector("colours")
+    assert types(one(spark, "a red car", policy)) == ["COLOUR"]
+    assert one(spark, "a blue car", policy).warnings == ["colours did not run: substring not found"]
+    with pytest.raises(PolicyError):
+        one(spark, "x", Policy().with_detector("none"))
