@@ -164,7 +164,8 @@ def quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, mar
     """doc_id, lang, trusted, perplexity, threshold and kept of each row. trusted: the doc_id of texts to learn from, all of which are used."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     ids = cut(trusted.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct().withColumn("trusted", F.lit(True)), "trusted")
-    texts = rows.join(ids, "doc_id", "left_semi")
+    # one plan at every size: texts are shuffled, whether or not the trusted would fit a broadcast
+    texts = rows.join(ids.hint("merge"), "doc_id", "left_semi")
     counts = cut(gram_counts(texts), "grams")
     if counts.isEmpty():
         none = F.lit(None).cast("double")
