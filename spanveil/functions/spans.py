@@ -65,7 +65,7 @@ def tc_id(value: Column) -> Column:
 
 
 def _country_lengths() -> Column:
-    return F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+    return F.expr("map(" + ", ".join(f"'{k}', {n}" for k, n in IBAN_LENGTHS.items()) + ")")
 
 
 def iban(value: Column) -> Column:
@@ -77,7 +77,7 @@ def iban(value: Column) -> Column:
         return F.when(c.rlike("^[0-9]$"), F.pmod(a * 10 + F.ascii(c) - 48, F.lit(97))).when(c.rlike("^[A-Z]$"), F.pmod(a * 100 + F.ascii(c) - 55, F.lit(97))).otherwise(F.lit(None).cast("int"))
 
     rest = F.aggregate(F.split(turned, ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise(step(a, c)))
-    known = F.substring(clean, 1, 2).isin(list(IBAN_LENGTHS))
+    known = F.try_element_at(_country_lengths(), F.substring(clean, 1, 2)).isNotNull()
     return F.coalesce((F.length(clean) >= 5) & known & (rest == 1), F.lit(False))
 
 

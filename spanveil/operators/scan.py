@@ -33,11 +33,6 @@ def hide_salt(df: DataFrame, policy: Policy) -> None:
             spark.conf.set("spark.sql.redaction.string.regex", f"{old}|{mine}" if old else mine)
 
 
-def _gate(entity: str, text: Column, digit: Column) -> Column | None:
-    g = GATES.get(entity)
-    return digit if g == "digit" else g(text) if g else None
-
-
 def _original(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, end - start)
 
@@ -72,8 +67,7 @@ def _builtin(df: DataFrame, policy: Policy) -> tuple[DataFrame, list[str]]:
     found = {}
     for e in wanted:
         m = F.regexp_extract_all(folded, F.lit(JAVA[e]), F.lit(0))
-        gate = _gate(e, folded, F.col("_digit"))
-        found[f"_m_{e}"] = F.when(gate, m).otherwise(nothing) if gate is not None else m
+        found[f"_m_{e}"] = F.when(F.expr(GATES[e]), m).otherwise(nothing) if e in GATES else m
     if uri:
         some = F.contains(folded, F.lit("://"))
         found["_m_uri"] = F.when(some, F.regexp_extract_all(folded, F.lit(JAVA_URI), F.lit(0))).otherwise(nothing)

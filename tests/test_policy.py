@@ -121,3 +121,11 @@ def test_model_manager():
     assert ModelManager(Shelf()).ensure("a") and not ModelManager(Shelf()).ensure("b")
     assert ModelManager(Shelf(), agree=lambda m: True).ensure("b", seen.append) and seen[0]["percent"] == 50.0
     assert ModelManager.known()[0] == "llama3.1:8b" and set(ModelManager.known(2.5)) == {"llama3.2:3b", "phi3:mini", "meta-llama/Llama-3.2-1B-Instruct"}
+
+
+def test_exports():
+    import spanveil
+
+    assert all(getattr(spanveil, name) is not None for name in spanveil.__all__)
+    with pytest.raises(AttributeError):
+        spanveil.nothing  # noqa: B018
