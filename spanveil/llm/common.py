@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Shuffle files of a finished write are of no more use.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The columns that the table of documents has.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -30,6 +32,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/spanveil-{uuid.uuid4().hex}"
 
 
+def write(df: DataFrame, path: str) -> None:
+    """Writes Parquet, after which the shuffle files that it needed are cleared."""
+    conf = df.sparkSession.conf
+    old = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, old) if old is not None else conf.unset(CLEANUP)
+
+
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """The rows of df, written to the shared folder and read again.
 
@@ -38,10 +51,19 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}-{name}"
-    df.write.parquet(path)
+    write(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table that cut() has written, once all that was to be made of it is written too."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/spanveil-" in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def per_batch(fn: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """fn over each Arrow batch, for mapInPandas."""
 

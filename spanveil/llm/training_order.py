@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, per_batch, read_table, texts_of, tokenizer_path
+from .common import cut, discard, per_batch, read_table, texts_of, tokenizer_path, write
 from .words import word_encoder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -31,6 +31,8 @@ LENGTH = 1024
 SEPARATOR, PADDING = 49407, 49407
 #: Sequences in a shard, buckets of the index, and the permutation's rounds and key.
 PER_SHARD, BUCKETS, ROUNDS, KEY = 512, 1024, 6, 0x5EED
+#: Bytes of ids that a task holds before it passes them on.
+HELD = 1 << 22
 SHARD = "shard long, first_slot long, sequences int, stride int, crc32 long, data binary"
 
 
@@ -69,21 +71,34 @@ def permute(index: np.ndarray, n: int, key: int = KEY, inverse: bool = False) ->
     return x.astype(np.int64)
 
 
+def filling(length: int, padding: int) -> bytes:
+    return np.full(length, padding, dtype="<u2").tobytes()
+
+
 def sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, separator: int = SEPARATOR, padding: int = PADDING) -> DataFrame:
-    """doc_id, window, n_tokens, crc32 and the ids (little-endian, 16 bits) of each sequence."""
-    end = np.asarray([separator], dtype="<u2")
+    """doc_id, window, n_tokens, crc32 and the ids (little-endian, 16 bits) of each sequence. The checksum is that of the filled-up
+    sequence; the ids are filled up only in the shards."""
+    end, filler = np.asarray([separator], dtype="<u2").tobytes(), filling(length, padding)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        encode, rows = word_encoder(tokenizer).encode, []
-        for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-            ids = np.append(np.frombuffer(encode(text), dtype="<u4").astype("<u2"), end)
-            for k, at in enumerate(range(0, len(ids), length)):
-                part = ids[at : at + length]
-                data = np.pad(part, (0, length - len(part)), constant_values=padding).tobytes()
-                rows.append((doc_id, k, len(part), zlib.crc32(data), data))
+    def frame(rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["doc_id", "window", "n_tokens", "crc32", "ids"]).astype({"doc_id": "Int64"})
 
-    return texts_of(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(per_batch(run), "doc_id long, window int, n_tokens int, crc32 long, ids binary")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode, rows, held = word_encoder(tokenizer).encode, [], 0
+        for pdf in batches:
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                data = np.frombuffer(encode(text), dtype="<u4").astype("<u2").tobytes() + end
+                for k, at in enumerate(range(0, len(data), 2 * length)):
+                    part = data[at : at + 2 * length]
+                    rows.append((doc_id, k, len(part) // 2, zlib.crc32(filler[len(part) :], zlib.crc32(part)), part))
+                held += len(data)
+                if held >= HELD:
+                    yield frame(rows)
+                    rows, held = [], 0
+        if rows:
+            yield frame(rows)
+
+    return texts_of(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, window int, n_tokens int, crc32 long, ids binary")
 
 
 def slotted(table: DataFrame, key: int = KEY, buckets: int = BUCKETS) -> DataFrame:
@@ -108,8 +123,9 @@ def slotted(table: DataFrame, key: int = KEY, buckets: int = BUCKETS) -> DataFra
     return ranked.mapInPandas(per_batch(run), f"{kinds}, index long, slot long")
 
 
-def shards(table: DataFrame, per_shard: int = PER_SHARD) -> DataFrame:
+def shards(table: DataFrame, per_shard: int = PER_SHARD, length: int = LENGTH, padding: int = PADDING) -> DataFrame:
     """Rows of SHARD from sequences with slots: dealt by ranges of slots, each shard made by one task."""
+    filler = filling(length, padding)
 
     def flush(rows: list[tuple[int, bytes]], shard: int) -> pd.DataFrame:
         data = b"".join(d for _, d in rows)
@@ -123,7 +139,7 @@ def shards(table: DataFrame, per_shard: int = PER_SHARD) -> DataFrame:
                     if rows:
                         yield flush(rows, shard)
                     rows, shard = [], int(slot) // per_shard
-                rows.append((int(slot), data))
+                rows.append((int(slot), data + filler[len(data) :]))
         if rows:
             yield flush(rows, shard)
 
@@ -135,7 +151,8 @@ def materialise(docs: DataFrame, path: str, tokenizer: str | None = None, length
     """Writes the shards to path and returns the manifest: a row for each sequence with its place."""
     table = cut(sequences(docs, tokenizer or tokenizer_path(TOKENIZER), length), "sequences")
     placed = cut(slotted(table, key), "slots")
-    shards(placed, per_shard).write.parquet(path)
+    discard(table)
+    write(shards(placed, per_shard, length), path)
     return placed.select(
         "doc_id", "window", "n_tokens", "crc32", "index", "slot",
         F.floor(F.col("slot") / per_shard).alias("shard"), (F.col("slot") % per_shard * F.lit(2 * length)).alias("byte_offset"),
