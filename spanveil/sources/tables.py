@@ -25,7 +25,7 @@ def read_texts(spark: SparkSession, path: str, kind: str = "parquet", text_col:
 def spread(df: DataFrame) -> DataFrame:
     """Deals a table of fewer splits than there are cores out to all of them; a large one stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if not df.isStreaming and len(df.inputFiles()) >= cores else df.repartition(2 * cores)
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
 
 
 def texts(spark: SparkSession, values: list[str | None]) -> DataFrame:
