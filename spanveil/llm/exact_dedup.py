@@ -31,7 +31,9 @@ NO_ID = (1 << 63) - 1
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    # a store is closed when its task has committed, so idle ones hold no memory
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.compactOnCommit": "false",
     # many small stores: no disk is set aside before it is used
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
