@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .media import op9_media
 from .mixing import op1_mixing
-from .near_dedup import op6_near_dedup
+from .near_dedup import OP6_SQL, op6_near_dedup
 from .packing import op2_packing
 from .quality import op4_quality
 from .suffix_dedup import op3_suffix_dedup
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op6_near_dedup": OP6_SQL, "op8_exact_dedup": OP8_SQL}
