@@ -242,3 +242,18 @@ def test_a_shards_transform(strings):
     _, owner, offset = build_bwt(strings)
     ends = [(list(s[i:]) + [-1], n) for n, s in enumerate(strings) for i in range(len(s) + 1)]
     assert [list(strings[n][i:]) + [-1] for n, i in zip(owner, offset, strict=True)] == [x for x, _ in sorted(ends)]
+
+
+@pytest.mark.parametrize("name", ["op6_near_dedup", "op8_exact_dedup"])
+def test_registered_sql(spark, name):
+    import duckdb
+
+    from spanveil.llm.queries import oracle_sql, queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/sf0.001/documents.parquet'")
+    sql = con.execute(oracle_sql()[name])
+    columns = [c[0] for c in sql.description]
+    df = queries()[name](spark, str(DATA / "sf0.001"))
+    assert sorted(df.columns) == sorted(columns)
+    assert sorted(map(repr, map(tuple, df.select(columns).collect()))) == sorted(map(repr, sql.fetchall()))
