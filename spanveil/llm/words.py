@@ -33,12 +33,13 @@ def byte_letters() -> dict[int, str]:
 class WordEncoder:
     """Ids as little-endian unsigned 32-bit bytes. keep: the most words of either generation remembered at a time."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.as_bytes = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
         self.keep = keep
         self.words, self.older = {}, {}
         self.tokens: dict[str, bytes] = {}
@@ -49,10 +50,9 @@ class WordEncoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _token(self, token: str) -> bytes:
-        import numpy as np
-
         written = token if token.isascii() else token.encode().decode("latin-1").translate(self.letters)
-        found = np.array([t.id for t in self.model.tokenize(written)], dtype="<u4").tobytes()
+        as_bytes = self.as_bytes
+        found = b"".join([as_bytes[t.id] for t in self.model.tokenize(written)])
         if len(self.tokens) > self.keep:
             self.tokens.clear()
         if len(token) <= LONG_WORD:
@@ -60,10 +60,17 @@ class WordEncoder:
         return found
 
     def _new(self, word: str) -> bytes:
-        found = self.older.get(word)
+        found, tokens = self.older.get(word), self.tokens
+        if found is None and word.isascii():
+            # the usual forms: letters, or letters and a mark
+            if word.isalpha():
+                token = word.lower()
+                found = tokens.get(token) or self._token(token)
+            elif word[-1] in ".,;:!?" and word[:-1].isalpha():
+                token = word[:-1].lower()
+                found = (tokens.get(token) or self._token(token)) + (tokens.get(word[-1]) or self._token(word[-1]))
         if found is None:
             if COMMON.fullmatch(word) and not ("<|" in word and any(s in word for s in self.specials)):
-                tokens = self.tokens
                 found = b"".join([tokens.get(t) or self._token(t) for t in PRETOKEN.findall(word.lower())])
             else:
                 found = self._library(word)
