@@ -9,8 +9,8 @@ A byte goes if a string of LENGTH bytes covers it that also starts in a document
 3. The strings of a repeated anchor make up a segment: up to LENGTH - K + 1 starts and the bytes they reach.  Where all segments of an anchor are
    equal, the least doc_id settles it.
 4. Otherwise their suffixes are needed in order.  Segments are dealt to shards, each shard's transform is built, and the transforms are merged: the
-   interleave (which shard each suffix of the merged order comes from) is refined character by character, as a stable sort of the transforms' characters, LENGTH
-   times.  Where two neighbours first fall into different blocks gives their common prefix; blocks after LENGTH rounds are the repeated
+   interleave (which shard each suffix of the merged order comes from) is refined by STEP characters a round, as a stable sort of what the transforms hold,
+   until LENGTH characters are in order.  Neighbours stay in one block as long as their common prefix lasts; blocks after the last round are the repeated
    intervals, and each one's least doc_id holds for all its suffixes.  No suffix is sorted again.
 
 Defined results: null and empty texts, and those under LENGTH bytes, keep all bytes; rows of equal doc_id never remove
@@ -28,11 +28,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, per_batch, read_table, texts_of
+from .common import cut, discard, per_batch, read_table, texts_of
 
 LENGTH, K = 50, 20
-#: Bytes of a shard, and shards merged at a time.
-SHARD, SHARDS = 1 << 17, 8
+#: Bytes of a shard, and shards merged at a time: what a core's cache holds.
+SHARD, SHARDS = 1 << 14, 4
+#: Characters by which a round refines the interleave.
+STEP = 2
 
 
 @lru_cache(maxsize=64)
@@ -77,120 +79,165 @@ def anchors(data: bytes, length: int = LENGTH, k: int = K) -> tuple[np.ndarray,
 
 
 def build_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The transform of a shard: for its suffixes in order, the character before each (0 at a string's beginning), and the string and
-    offset it starts at. Characters are shifted by one; each string ends in 0, the sooner string's end first."""
+    """The transform of a shard: for its suffixes in order, the STEP characters before each (read cyclically within its string, as one number
+    that keeps their order), and the string and offset it starts at.
+
+    Each string ends in a sign below all characters, the sooner string's below the later's.  Characters stand for themselves plus one, the end for 0.
+    """
     data = np.frombuffer(b"".join(s + b"\x00" for s in strings), dtype=np.uint8)
     sizes = np.asarray([len(s) + 1 for s in strings])
-    owner = np.repeat(np.arange(len(strings)), sizes)
-    offset = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    ends = offset == np.repeat(sizes - 1, sizes)
+    begins = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    length = np.repeat(sizes, sizes)
+    offset = np.arange(len(data)) - begins
     codes = data.astype(np.int64) + 1
-    codes[ends] = 0
-    # prefix doubling; an end is below all characters and ranks by its string, so no comparison goes past it
-    rank = codes + len(strings)
-    rank[ends] = np.arange(len(strings))
-    rank = np.unique(rank, return_inverse=True)[1]
-    width = 1
+    codes[offset == length - 1] = 0
+    # the first seven characters as one number, with nothing behind an end; then by doubling
+    key = codes.copy()
+    left = length - offset
+    padded = np.concatenate([codes, np.zeros(8, dtype=np.int64)])
+    for k in range(1, 7):
+        key = key * 257 + np.where(left > k, padded[k : k + len(codes)], 0)
+    # suffixes that reach their string's end differ by their strings
+    owner = np.repeat(np.arange(len(strings)), sizes)
+    rank = _ranks(key, np.where(left <= 7, owner, -1))
+    width = 7
     while width < sizes.max() and rank.max() < len(data) - 1:
         later = np.zeros(len(data), dtype=np.int64)
         later[:-width] = rank[width:] + 1
-        later[offset + width >= np.repeat(sizes, sizes)] = 0
-        rank = np.unique(rank * (len(data) + 1) + later, return_inverse=True)[1]
+        later[left <= width] = 0
+        rank = _ranks(rank * (len(data) + 1) + later)
         width *= 2
     order = np.argsort(rank, kind="stable")
-    before = np.zeros(len(data), dtype=np.int16)
-    before[1:] = codes[:-1]
-    before[offset == 0] = 0
-    return before[order], owner[order], offset[order]
+    number = np.zeros(len(data), dtype=np.int64)
+    for k in range(STEP, 0, -1):
+        number = number * 257 + codes[begins + (offset - k) % length]
+    return number[order], owner[order], offset[order]
+
+
+def _ranks(key: np.ndarray, tie: np.ndarray | None = None) -> np.ndarray:
+    """Dense ranks; with tie, equal keys rank by it."""
+    order = np.argsort(key, kind="stable") if tie is None else np.lexsort((tie, key))
+    k = key[order]
+    new = np.empty(len(key), dtype=bool)
+    new[0] = False
+    new[1:] = k[1:] != k[:-1]
+    if tie is not None:
+        t = tie[order]
+        new[1:] |= t[1:] != t[:-1]
+    rank = np.empty(len(key), dtype=np.int64)
+    rank[order] = np.cumsum(new)
+    return rank
 
 
 def merge_bwts(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave of transforms after so many rounds of refinement, and the length of the prefix that each merged suffix shares with the
-    one before it (rounds, if at least so many).
+    """The interleave of transforms after so many rounds of refinement, and whether each merged suffix begins a new interval: it shares fewer than
+    rounds * STEP characters with the one before it.
 
-    In round k the interleave orders suffixes by their first k characters.  Round k + 1 puts each suffix's predecessor, whose first character the transform
-    tells, into the bucket of that character, in the order of its successor: a stable sort by character.  Ends sort by string, and strings of
-    sooner shards come first.
+    In round k the interleave orders suffixes by their first k * STEP characters.  The next round puts what precedes each suffix by STEP characters, which the
+    transform tells, into the bucket of those characters, in the order of the suffixes: a stable sort.  An end shares nothing with another.
     """
     sizes = [len(t) for t in transforms]
     source = np.repeat(np.arange(len(transforms), dtype=np.uint8), sizes)
-    total = len(source)
-    common = np.full(total, rounds, dtype=np.int16)
-    block = np.zeros(total, dtype=np.int64)
-    characters = np.empty(total, dtype=np.int16)
-    for k in range(rounds):
-        for z, t in enumerate(transforms):
-            characters[source == z] = t
-        order = np.argsort(characters, kind="stable")
-        moved, letter = block[order], characters[order]
-        source = source[order]
-        new = np.empty(total, dtype=bool)
+    joined = np.concatenate(transforms)
+    # the numbers in use, so that they fit 16 bits and sort by radix; more of them sort as they are
+    used = np.unique(joined)
+    has_end = np.zeros(len(used), dtype=bool)
+    rest = used.copy()
+    for _ in range(STEP):
+        has_end |= rest % 257 == 0
+        rest //= 257
+    kind = np.uint16 if len(used) < 1 << 16 else np.uint32
+    joined = np.searchsorted(used, joined).astype(kind)
+    block = np.zeros(len(source), dtype=np.int32)
+    letters = np.empty(len(source), dtype=kind)
+    new = np.empty(len(source), dtype=bool)
+    for _ in range(rounds):
+        letters[np.argsort(source, kind="stable")] = joined
+        order = np.argsort(letters, kind="stable")
+        moved, letter, source = block[order], letters[order], source[order]
         new[0] = True
-        new[1:] = (letter[1:] != letter[:-1]) | (moved[1:] != moved[:-1]) | (letter[1:] == 0)
-        common[new & (common == rounds)] = k
-        block = np.cumsum(new) - 1
-    return source, common
+        np.not_equal(letter[1:], letter[:-1], out=new[1:])
+        new[1:] |= moved[1:] != moved[:-1]
+        new |= has_end[letter]
+        np.cumsum(new, out=block)
+    return source, new
 
 
 def least_by_interval(strings: list[bytes], docs: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For every start of each string that has ``length`` bytes, the least of the docs whose strings hold those bytes."""
-    shards, at = [], 0
+    """For every start of each string that has ``length`` bytes (a multiple of STEP), the least of the docs whose strings hold those bytes."""
+    sizes = np.asarray([len(s) for s in strings])
+    most = max(SHARD, -(-int(sizes.sum()) // SHARDS))
+    shards, at, ends = [], 0, np.cumsum(sizes)
     while at < len(strings):
-        size, end = 0, at
-        while end < len(strings) and (end == at or size < max(SHARD, sum(map(len, strings)) // SHARDS)):
-            size += len(strings[end])
-            end += 1
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
         shards.append((at, build_bwt(strings[at:end])))
         at = end
-    source, common = merge_bwts([t for _, (t, _, _) in shards], length)
+    source, new = merge_bwts([t for _, (t, _, _) in shards], length // STEP)
+    place = np.argsort(source, kind="stable")
     owner, offset = np.empty(len(source), dtype=np.int64), np.empty(len(source), dtype=np.int64)
-    for z, (first, (_, own, off)) in enumerate(shards):
-        owner[source == z], offset[source == z] = own + first, off
-    starts = np.concatenate([[0], np.flatnonzero(common[1:] < length) + 1])
-    sizes = np.asarray([len(s) for s in strings])
+    owner[place] = np.concatenate([own + first for first, (_, own, _) in shards])
+    offset[place] = np.concatenate([off for _, (_, _, off) in shards])
+    starts = np.flatnonzero(new)
     real = offset + length <= sizes[owner]
     doc = np.where(real, docs[owner], np.iinfo(np.int64).max)
     least = np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(doc))))
-    out = [np.empty(max(0, n - length + 1), dtype=np.int64) for n in sizes]
-    flat = np.concatenate([[0], np.cumsum([len(o) for o in out])])
+    flat = np.concatenate([[0], np.cumsum(np.maximum(sizes - length + 1, 0))])
     joined = np.empty(flat[-1], dtype=np.int64)
     joined[flat[owner[real]] + offset[real]] = least[real]
     return [joined[a:b] for a, b in zip(flat, flat[1:], strict=False)]
 
 
-def _anchor_rows(shared_in_batch: bool):
-    """Rows (h, doc_id) of distinct anchors. shared_in_batch: those that several documents of the batch have, each document's;
-    else each anchor once a batch, with whether the batch shares it."""
+def anchor_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    """From doc_id and text: rows (h, doc_id, shared, known).
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes = [np.unique(anchors(t.encode("utf-8", "surrogatepass"))[0]) for t in pdf["text"]]
-        h = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.int64)
-        doc = np.repeat(pdf["doc_id"].to_numpy(dtype=np.int64), [len(x) for x in hashes])
-        order = np.lexsort((doc, h))
-        h, doc = h[order], doc[order]
-        first = np.ones(len(h), dtype=bool)
-        first[1:] = h[1:] != h[:-1]
-        group = np.cumsum(first) - 1
-        starts = np.flatnonzero(first)
-        if not len(h):
-            return pd.DataFrame({"h": h, "doc_id": doc, **({} if shared_in_batch else {"shared": np.empty(0, dtype=bool)})})
-        many = np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts)
-        if shared_in_batch:
-            keep = many[group]
-            return pd.DataFrame({"h": h[keep], "doc_id": doc[keep]})
-        return pd.DataFrame({"h": h[starts], "doc_id": doc[starts], "shared": many})
-
-    return per_batch(run)
+    Of each distinct anchor of the batch one row goes on to be compared with other batches', with whether several documents of
+    the batch share it.  Where they do, a known row for each of them is added: no comparison is needed for these.
+    """
+    hashes = [np.unique(anchors(t.encode("utf-8", "surrogatepass"))[0]) for t in pdf["text"]]
+    h = np.concatenate(hashes)
+    doc = np.repeat(pdf["doc_id"].to_numpy(dtype=np.int64), [len(x) for x in hashes])
+    order = np.lexsort((doc, h))
+    h, doc = h[order], doc[order]
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, dtype=np.int64)
+    many = np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts) if len(h) else np.empty(0, dtype=bool)
+    keep = np.repeat(many, np.diff(np.append(starts, len(h))))
+    one = pd.DataFrame({"h": h[starts], "doc_id": doc[starts], "shared": many, "known": False})
+    return pd.concat([one, pd.DataFrame({"h": h[keep], "doc_id": doc[keep], "shared": True, "known": True})])
 
 
 def repeated_anchors(texts: DataFrame) -> DataFrame:
     """(h, doc_id) of the anchors that several documents have. texts: doc_id, text."""
-    local = cut(texts.mapInPandas(_anchor_rows(True), "h long, doc_id long"), "local")
-    each = texts.mapInPandas(_anchor_rows(False), "h long, doc_id long, shared boolean")
-    hot = F.struct(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.max("shared").alias("s")).alias("g")
-    many = cut(each.groupBy("h").agg(hot).filter("g.x != g.y OR g.s").select("h"), "many")
-    single = each.filter("NOT shared").select("h", "doc_id")
-    return local.unionByName(single.join(many, "h"))
+
+    def settled(rows: pd.DataFrame) -> pd.DataFrame:
+        h, doc, shared = rows["h"].to_numpy(), rows["doc_id"].to_numpy(), rows["shared"].to_numpy(dtype=bool)
+        if not len(h):
+            return pd.DataFrame({"h": h, "doc_id": doc})
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        many = (np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts)) | np.logical_or.reduceat(shared, starts)
+        keep = np.repeat(many, np.diff(np.append(starts, len(h)))) & ~shared
+        return pd.DataFrame({"h": h[keep], "doc_id": doc[keep]})
+
+    def several(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """From rows sorted by h: the known ones, and those not shared in their own batch whose h other rows have too. An anchor's rows
+        that are held are one a batch at most."""
+        held = None
+        for pdf in batches:
+            known = pdf["known"].to_numpy(dtype=bool)
+            yield pdf.loc[known, ["h", "doc_id"]]
+            rows = pdf.loc[~known, ["h", "doc_id", "shared"]]
+            rows = rows if held is None else pd.concat([held, rows])
+            if len(rows):
+                h = rows["h"].to_numpy()
+                at = int(np.searchsorted(h, h[-1]))
+                held = rows.iloc[at:]
+                yield settled(rows.iloc[:at])
+        if held is not None:
+            yield settled(held)
+
+    rows = texts.mapInPandas(per_batch(anchor_rows), "h long, doc_id long, shared boolean, known boolean")
+    # known rows are spread by document, so that none of them meet for being of one anchor
+    dealt = rows.repartition(F.when(F.col("known"), F.xxhash64("doc_id", "h")).otherwise(F.col("h"))).sortWithinPartitions("h")
+    return dealt.mapInPandas(several, "h long, doc_id long")
 
 
 def segments(texts: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -240,7 +287,7 @@ def least_documents(parts: DataFrame) -> DataFrame:
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text, whole (a copy of a document with smaller doc_id) and spans (array of begin, end; disjoint) of each row."""
+    """doc_id, text, whole (a copy of a document with smaller doc_id), and begins and ends of the spans, which may overlap, of each row."""
     rows = texts_of(docs).select(F.col("doc_id").cast("long"), "text").withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
     real = rows.filter("doc_id IS NOT NULL").filter(F.octet_length("text") >= LENGTH)
     firsts = cut(real.groupBy("sha").agg(F.min("doc_id").alias("doc_id")), "firsts")
@@ -250,33 +297,35 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     texts = rows.filter(F.octet_length("text") >= LENGTH).select("doc_id", "tag", "text").join(firsts, ["doc_id", "tag"], "left_semi")
     repeated = cut(repeated_anchors(texts.select("doc_id", "text")), "repeated")
     parts = cut(segments(texts, repeated), "segments")
-    kinds = cut(parts.groupBy("h").agg(F.min("doc_id").alias("least_doc"), F.max("doc_id").alias("last_doc"), (F.min("content") == F.max("content")).alias("alike")).filter("least_doc != last_doc"), "kinds")
+    kinds = parts.groupBy("h").agg(F.min("doc_id").alias("least_doc"), F.max("doc_id").alias("last_doc"), (F.min("content") == F.max("content")).alias("alike")).filter("least_doc != last_doc")
+    kinds = cut(kinds, "kinds")
     n = (F.octet_length("bytes") - (LENGTH - 1)).alias("n")
     alike = parts.select("h", "doc_id", "tag", "start", n).join(kinds.filter("alike").select("h", "least_doc"), "h").filter("least_doc < doc_id")
     spans = alike.select("doc_id", "tag", F.col("start").alias("a"), (F.col("start") + F.col("n") + LENGTH - 1).alias("b"))
-    mixed = parts.join(kinds.filter("NOT alike").select("h"), "h")
+    mixed = cut(parts.join(kinds.filter("NOT alike").select("h"), "h"), "mixed")
     least = cut(least_documents(mixed), "least")
-    gone = parts.select("h", "content", "doc_id", "tag", "start").join(least, ["h", "content"]).select("doc_id", "tag", "start", F.filter(F.sequence(F.lit(0), F.size("least") - 1), lambda i: F.col("least")[i] < F.col("doc_id")).alias("at"))
+    gone = mixed.select("h", "content", "doc_id", "tag", "start").join(least, ["h", "content"]).select("doc_id", "tag", "start", F.filter(F.sequence(F.lit(0), F.size("least") - 1), lambda i: F.col("least")[i] < F.col("doc_id")).alias("at"))
     more = gone.filter(F.size("at") > 0).select("doc_id", "tag", F.explode("at").alias("i"), "start").select("doc_id", "tag", (F.col("start") + F.col("i")).alias("a"), (F.col("start") + F.col("i") + LENGTH).alias("b"))
+    discard(repeated)
     listed = cut(spans.unionByName(more).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("a", "b")).alias("raw")), "spans")
+    for t in (parts, mixed, least, kinds):
+        discard(t)
     first = firsts.select("doc_id", "tag", F.lit(True).alias("is_first"))
     known = cut(first.join(listed, ["doc_id", "tag"], "left"), "known")
     whole = F.col("is_first").isNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)
-    return rows.join(known, ["doc_id", "tag"], "left").select("doc_id", "text", whole.alias("whole"), "raw")
+    ends = [F.transform("raw", lambda r: r["a"]).alias("begins"), F.transform("raw", lambda r: r["b"]).alias("ends")]
+    return rows.join(known, ["doc_id", "tag"], "left").select("doc_id", "text", whole.alias("whole"), *ends)
 
 
-def union_of(raw: np.ndarray | None, n_bytes: int, whole: bool) -> list[tuple[int, int]]:
+def union_of(begins: np.ndarray | None, ends: np.ndarray | None, n_bytes: int, whole: bool) -> list[tuple[int, int]]:
     if whole:
         return [(0, n_bytes)]
-    if raw is None or not len(raw):
+    if begins is None or not len(begins):
         return []
-    out: list[list[int]] = []
-    for a, b in sorted((r["a"], r["b"]) for r in raw):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    order = np.argsort(begins, kind="stable")
+    a, b = np.asarray(begins)[order], np.maximum.accumulate(np.asarray(ends)[order])
+    new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
+    return list(zip(a[new].tolist(), b[np.append(new[1:], len(b)) - 1].tolist(), strict=True))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -285,9 +334,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for doc_id, text, whole, raw in zip(pdf["doc_id"], pdf["text"], pdf["whole"], pdf["raw"], strict=True):
+        for doc_id, text, whole, begins, ends in zip(pdf["doc_id"], pdf["text"], pdf["whole"], pdf["begins"], pdf["ends"], strict=True):
             data = text.encode("utf-8", "surrogatepass")
-            spans = union_of(raw, len(data), bool(whole))
+            spans = union_of(begins, ends, len(data), bool(whole))
             cuts = [0, *(x for s in spans for x in s), len(data)]
             kept = b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
             out.append((doc_id, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept))
