@@ -32,13 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/spanveil-{uuid.uuid4().hex}"
 
 
-def write(df: DataFrame, path: str) -> None:
+def write(df: DataFrame, path: str, **options: str) -> None:
     """Writes Parquet, after which the shuffle files that it needed are cleared."""
     conf = df.sparkSession.conf
     old = conf.get(CLEANUP, None)
     conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         conf.set(CLEANUP, old) if old is not None else conf.unset(CLEANUP)
 

@@ -143,7 +143,11 @@ def shards(table: DataFrame, per_shard: int = PER_SHARD, length: int = LENGTH, p
         if rows:
             yield flush(rows, shard)
 
-    dealt = table.select("slot", "ids", F.floor(F.col("slot") / per_shard).alias("shard")).repartitionByRange("shard").sortWithinPartitions("slot")
+    # slots are dense, so equal ranges of shards need no sample of the data
+    n_shards = max(1, -(-table.count() // per_shard))
+    parts = min(n_shards, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = F.floor(F.floor(F.col("slot") / per_shard) * parts / n_shards)
+    dealt = table.select("slot", "ids").repartition(ranges).sortWithinPartitions("slot")
     return dealt.select("slot", "ids").mapInPandas(run, SHARD)
 
 
@@ -152,7 +156,7 @@ def materialise(docs: DataFrame, path: str, tokenizer: str | None = None, length
     table = cut(sequences(docs, tokenizer or tokenizer_path(TOKENIZER), length), "sequences")
     placed = cut(slotted(table, key), "slots")
     discard(table)
-    write(shards(placed, per_shard, length), path)
+    write(shards(placed, per_shard, length), path, compression="zstd")
     return placed.select(
         "doc_id", "window", "n_tokens", "crc32", "index", "slot",
         F.floor(F.col("slot") / per_shard).alias("shard"), (F.col("slot") % per_shard * F.lit(2 * length)).alias("byte_offset"),
