@@ -6,7 +6,7 @@ n-grams first, the counts are shuffled by n-gram (shards), and joins of the shar
 for the discounts, and for every n-gram its discounted probability and the weight left to the next lower order.
 
 Each document's perplexity is then the model's over its whole text.  A document stays if its perplexity is at most its language's
-threshold: a quantile of the trusted texts' perplexities, times a margin; a language with too few trusted texts takes the
+threshold: a quantile of the trusted texts' perplexities; a language with too few trusted texts takes the
 threshold of all.
 
 Defined results: a null or empty text has a null perplexity and is kept; a null language is a language of its own; rows of equal doc_id are scored each on its own;
@@ -30,8 +30,8 @@ SIGNS = "abcdefghijklmnopqrstuvwxyzäöüßéèêàçñíóáúù .,;:!?'\"()-|*
 CAPITAL, DIGIT = len(SIGNS), len(SIGNS) + 1
 SYMBOLS, ORDER = len(SIGNS) + 4, 4
 OTHER_LETTER, OTHER = SYMBOLS - 2, SYMBOLS - 1
-#: The quantile of trusted perplexities, the margin on it, and the fewest trusted texts of a language.
-QUANTILE, MARGIN, FEWEST = 0.99, 1.15, 30
+#: The quantile of trusted perplexities, and the fewest trusted texts of a language.
+QUANTILE, FEWEST = 0.99, 30
 #: Signs of a text folded at a time.
 PIECE = 1 << 20
 
@@ -160,7 +160,7 @@ def perplexities(docs: DataFrame, tables: list[DataFrame], order: int = ORDER) -
     return perplexity
 
 
-def quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, trusted, perplexity, threshold and kept of each row. trusted: the doc_id of texts to learn from, all of which are used."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     ids = cut(trusted.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct().withColumn("trusted", F.lit(True)), "trusted")
@@ -173,7 +173,7 @@ def quality(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, mar
     perplexity = perplexities(docs, model_tables(counts))
     scored = cut(rows.select("doc_id", "lang", perplexity("text").alias("perplexity")).join(ids, "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False))), "scored")
     known = scored.filter("trusted AND perplexity IS NOT NULL")
-    at = lambda c: F.percentile_approx(c, quantile, 10_000) * margin
+    at = lambda c: F.percentile_approx(c, quantile, 10_000)
     overall = known.agg(at("perplexity")).first()[0]
     by_lang = cut(known.groupBy("lang").agg(at("perplexity").alias("own"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FEWEST), "thresholds")
     joined = scored.join(by_lang.select(F.col("lang").alias("l"), "own"), F.col("lang").eqNullSafe(F.col("l")), "left")

@@ -171,6 +171,15 @@ def test_good_documents_are_kept(small):
     assert np.mean(good) > 0.99 and np.mean(bad) < 0.2
 
 
+def test_junk_is_told_from_good(spark):
+    d = str(DATA / "sf0.1")
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = quality.quality(docs, labels.filter("quality = 1")).join(labels, "doc_id").collect()
+    good, bad = [r.kept for r in rows if r.quality], [r.kept for r in rows if not r.quality]
+    print(f"kept {sum(good)} of {len(good)} good, {sum(bad)} of {len(bad)} junk")
+    assert np.mean(good) > 0.98 and np.mean(bad) < 0.06
+
+
 def test_quality_of_odd_rows(spark, documents, odd_rows, empty):
     docs = documents(odd_rows)
     got = quality.quality(docs, docs.filter("doc_id in (0, 5)").select("doc_id")).collect()
