@@ -78,6 +78,25 @@ def test_mixing_meets_its_targets(small):
     assert all(abs(shares[k] - t) < 0.03 for k, t in mixing.TARGETS.items())
 
 
+@pytest.mark.parametrize("shares", [(0.95, 0.03, 0.015, 0.005), (0.97, 0.02, 0.009, 0.001)])
+def test_rare_domains_meet_their_targets(spark, shares):
+    one_hot = [[1000 * (i == j) for i in range(4)] for j in range(4)]
+    rows = [(int(s * 1e6), q) for s, q in zip(shares, one_hot, strict=True)] + [(1000, [700, 100, 100, 100])]
+    table = spark.createDataFrame(rows, "n_tokens long, q array<int>")
+    rates, expected = mixing.meet_targets(table, mixing.TARGETS)
+    total = sum(n for n, _ in rows)
+    assert all(abs(e / total - t) <= mixing.TOLERANCE * t for e, t in zip(expected, mixing.TARGETS.values(), strict=True))
+    rate = {tuple(r.q): r.rate for r in rates.collect()}
+    got = [sum(n * rate[tuple(q)] * q[j] / 1000 for n, q in rows) for j in range(4)]
+    assert np.allclose(got, expected) and min(rate.values()) >= 0
+
+
+def test_targets_that_no_rates_meet_are_told(spark, caplog):
+    table = spark.createDataFrame([(100, [1000, 0]), (50, [900, 100])], "n_tokens long, q array<int>")
+    _, expected = mixing.meet_targets(table, {"a": 0.5, "b": 0.5})
+    assert "no rates meet the targets" in caplog.text and expected[1] < 70
+
+
 def test_posteriors_against_plain_counts(spark, small):
     docs, labels = small
     labelled = docs.join(labels, "doc_id").select(F.col("lang").alias("domain"), "text")
