@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon that Aho-Corasick finds in folded text.
 
-Folding: lower case, look-alike letters of other scripts and full-width forms to Latin ones, and digits and signs that stand for letters
-to those letters.  Lexicon entries are beginnings of words or whole words, each with a weight; a match whose
+Folding: lower case, look-alike letters of other scripts (capitals by the look of the capital) and full-width forms to Latin ones, and digits
+and signs that stand for letters to those letters; a 1 is read as i and as l, a ! before a letter as i and as itself.  Lexicon entries are beginnings of words or whole words, each with a weight; a match whose
 surroundings make up an exception phrase doesn't count.  The summed weight, also divided by the length in words, gives the
 score through a logistic function.
 
@@ -40,14 +40,21 @@ SHORTEST, LONGEST, LEAST_ROWS, LEAST_SHARE, CLEAN_RATIO = 4, 8, 3, 0.002, 0.15
 ENOUGH = 6.0
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters.
-LOOKALIKES = str.maketrans("асеорхуіјѕһԁԛԝʏαοερτυνικ01345@", "aceopxyijshdqwyaoeptuvikoieasa")
+LOOKALIKES = str.maketrans("асеорхуіјѕһԁԛԝʏαοερτυνικкмтнвβχζημ01345789@", "aceopxyijshdqwyaoeptuvikkmthbbxznuoieastbga")
 LOOKALIKES |= {0xFF41 + k: 97 + k for k in range(26)}
+CAPITALS = str.maketrans("АВЕКМНОРСТУХІЈЅҺԚԜΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "abekmhopctyxijshqwabezhikmnoptyx")
+CAPITAL = re.compile("[" + "".join(map(chr, CAPITALS)) + "]")
 DOLLAR = re.compile(r"\$(?=\w)")
+MARK = re.compile(r"!(?=\w)")
 WORD = re.compile(r"\w+")
 
 
+def lower(text: str) -> str:
+    return (CAPITAL.sub(lambda m: m.group().translate(CAPITALS), text) if not text.isascii() else text).lower()
+
+
 def fold(text: str) -> str:
-    text = text.lower()
+    text = lower(text)
     if "$" in text:
         text = DOLLAR.sub("s", text)
     return text.translate(LOOKALIKES)
@@ -66,41 +73,55 @@ class Lexicon:
     def __getstate__(self) -> dict:
         return {"weights": self.weights, "exceptions": self.exceptions, "curve": self.curve, "automaton": []}
 
-    def matches(self, folded: str) -> list[tuple[int, int, str]]:
-        """(start, end, entry) of entries that stand at a word's beginning, the longest at each place."""
+    def matches(self, folded: str, text: str = "") -> list[tuple[int, int, str]]:
+        """(start, end, entry) of entries that stand at a word's beginning, the longest at each place. text: what was folded, for the other readings
+        of 1 and !."""
         if not self.weights:
             return []
         if not self.automaton:
             import ahocorasick
 
-            a = ahocorasick.Automaton()
-            for w in self.weights:
-                a.add_word(w.rstrip("$"), (len(w.rstrip("$")), [w])) if w.rstrip("$") not in a else a.get(w.rstrip("$"))[1].append(w)
-            a.make_automaton()
-            self.automaton.append(a)
+            # the second one finds entries whose i and l are alike
+            for alike in (False, True):
+                a = ahocorasick.Automaton()
+                for w in self.weights:
+                    key = w.rstrip("$").replace("l", "i") if alike else w.rstrip("$")
+                    a.add_word(key, (len(key), [w])) if key not in a else a.get(key)[1].append(w)
+                a.make_automaton()
+                self.automaton.append(a)
         found: dict[int, tuple[int, str]] = {}
-        for last, (n, entries) in self.automaton[0].iter(folded):
-            start = last + 1 - n
-            if start and (folded[start - 1].isalnum() or folded[start - 1] == "_"):
-                continue
-            whole = last + 1 == len(folded) or not folded[last + 1].isalnum()
-            for w in entries:
-                if (whole or w[-1] != "$") and (start not in found or n >= found[start][0] - start):
-                    found[start] = (last + 1, w)
+
+        def search(automaton, searched: str, shown: str, source: str) -> None:
+            for last, (n, entries) in automaton.iter(searched):
+                start = last + 1 - n
+                if start and (shown[start - 1].isalnum() or shown[start - 1] == "_"):
+                    continue
+                whole = last + 1 == len(shown) or not shown[last + 1].isalnum()
+                for w in entries:
+                    if source and any(c != shown[start + k] and not (c == "l" and source[start + k] == "1") for k, c in enumerate(w.rstrip("$"))):
+                        continue
+                    if (whole or w[-1] != "$") and (start not in found or n >= found[start][0] - start):
+                        found[start] = (last + 1, w)
+
+        search(self.automaton[0], folded, folded, "")
+        if "1" in text or MARK.search(text):
+            shown = fold(MARK.sub("i", text))
+            search(self.automaton[1], shown.replace("l", "i"), shown, lower(text))
         return [(s, e, w) for s, (e, w) in sorted(found.items())]
 
     @staticmethod
     def around(folded: str, start: int) -> tuple[str, str, str]:
         """The word before, the word itself and the word after."""
         here = WORD.match(folded, start)
-        after = WORD.search(folded, here.end(), here.end() + 40)
+        end = here.end() if here else start + 1  # a ! read as a letter
+        after = WORD.search(folded, end, end + 40)
         before = WORD.findall(folded[max(0, start - 40) : start])
-        return before[-1] if before else "", here.group(), after.group() if after else ""
+        return before[-1] if before else "", here.group() if here else folded[start], after.group() if after else ""
 
     def weigh(self, text: str) -> tuple[float, int, int]:
         """The summed weight, the matches that count, and the words."""
         folded, total, hits = fold(text), 0.0, 0
-        for start, _, w in self.matches(folded):
+        for start, _, w in self.matches(folded, text):
             if self.exceptions:
                 a, b, c = self.around(folded, start)
                 if (a, b) in self.exceptions or (b, c) in self.exceptions:
@@ -190,7 +211,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, exceptions: tu
             pairs: set[tuple[str, str]] = set()
             if hits:
                 folded = fold(text)
-                for start, _, _ in lexicon.matches(folded):
+                for start, _, _ in lexicon.matches(folded, text):
                     a, b, c = lexicon.around(folded, start)
                     pairs |= {(a, b), (b, c)}
             rows.append((int(label), total, words, [list(p) for p in pairs]))

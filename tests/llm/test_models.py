@@ -219,6 +219,20 @@ def test_folding_and_matching():
     assert lexicon.score(10.0, 5) > lexicon.score(10.0, 500) > lexicon.score(0.0, 500)
 
 
+@pytest.mark.parametrize(
+    "text", ["7rash", "s7upid", "c1own", "1oser", "1d1ot", "sc0undre1", "i11iterate", "id!ot", "!diot", "Тrash", "тrash", "Мoron", "мoron", "ΜΟRΟΝ", "Ηalfwit", "Кnave", "Вoor", "8oor", "9oon", "a note!Idiot"]
+)
+def test_disguised_spellings_are_found(text):
+    words = ("trash", "stupid", "clown", "loser", "idiot$", "scoundrel", "illiterate", "moron", "halfwit", "knave", "boor", "goon")
+    assert toxicity.Lexicon(dict.fromkeys(words, 1.0)).weigh(text)[1] == 1
+
+
+def test_other_readings_find_nothing_else():
+    lexicon = toxicity.Lexicon({"clown": 1.0, "lime$": 1.0}, frozenset({("a", "clown")}))
+    assert all(lexicon.weigh(t)[1] == 0 for t in ("ciown", "ime 1", "1imes", "a clown 1", "Stop!1", "!", "wow! 11"))
+    assert lexicon.weigh("clown! 1 clown")[1] == 2
+
+
 def test_held_out_rows_are_told_right(spark):
     d = str(DATA / "sf0.1")
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
