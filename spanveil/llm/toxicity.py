@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, per_batch, read_table, texts_of
 
-#: The most labelled rows that the lexicon is learned from, and entries that it gets.
-SAMPLE, ENTRIES = 20_000, 400
+#: The most labelled rows that the lexicon is learned from; they bound its entries and exception phrases too.
+SAMPLE = 20_000
 THRESHOLD = 0.7
 #: Lengths of word beginnings; the share of new toxic rows, and how rare in clean rows, an entry must be.
 SHORTEST, LONGEST, LEAST_ROWS, LEAST_SHARE, CLEAN_RATIO = 4, 8, 3, 0.002, 0.15
@@ -189,7 +189,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, exceptions: tu
         for f in s:
             rows_of.setdefault(f, []).append(i)
     wanted = [ENOUGH] * len(left)
-    while active and len(chosen) < ENTRIES:
+    while active:
         # of equal gains the longest beginning, the surest one
         entry = max(active, key=lambda f: (active[f] * weight[f], len(f), f))
         if active[entry] < least:
@@ -220,7 +220,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, exceptions: tu
     seen = cut(sample.select("toxic", "text").mapInPandas(per_batch(context), "toxic int, total double, words long, pairs array<array<string>>"), "context")
     # phrases that clean rows use and toxic ones don't
     phrases = seen.select("toxic", F.explode("pairs").alias("p")).groupBy("p").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n")).filter("bad = 0 AND n >= 8 AND p[0] != '' AND p[1] != ''")
-    learned = frozenset(tuple(r[0]) for r in phrases.select("p").limit(10_000).collect())
+    learned = frozenset(tuple(r[0]) for r in phrases.select("p").collect())
     points = seen.select("toxic", "total", "words").toPandas()
     curve = fit(np.asarray([shape(t, w) for t, w in zip(points["total"], points["words"], strict=True)]), points["toxic"].to_numpy(dtype=float))
     return Lexicon(chosen, lexicon.exceptions | learned, curve)

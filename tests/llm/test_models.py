@@ -251,6 +251,19 @@ def test_held_out_labels_are_not_learned_from(spark, documents):
     assert toxicity.learn(docs, labels).weights == {}
 
 
+def test_entries_and_exceptions_have_no_limit(spark, documents):
+    spell = lambda k, first: first + "".join(chr(97 + k // 26**i % 26) for i in range(7))
+    ids = iter(i for i in range(10_000) if zlib.crc32(str(i).encode()) % 3 != 1)
+    bad = [f"{spell(7_919 * k, 'x')} {spell(7 * k + j, 'q')} words" for k in range(450) for j in range(7)] + [f"nasty {spell(9_000 + j, 'q')} words" for j in range(300)]
+    # clean rows that use the entry nasty in 10,100 phrases, each in eight rows
+    clean = [" ".join(f"nasty {spell(k, 'w')} {spell(j, 'u')}" for k in range(10_100)) for j in range(8)] + [f"plain {spell(j, 'v')} words" for j in range(1_000)]
+    rows = [(next(ids), t, int(k < len(bad))) for k, t in enumerate(bad + clean)]
+    lexicon = toxicity.learn(documents([r[:2] for r in rows]), spark.createDataFrame([(i, n) for i, _, n in rows], "doc_id long, toxic int"))
+    print(len(lexicon.weights), "entries,", len(lexicon.exceptions), "exceptions")
+    assert len(lexicon.weights) > 400 and all(lexicon.weigh(spell(7_919 * k, "x"))[1] for k in range(450))
+    assert len([p for p in lexicon.exceptions if p[0] == "nasty"]) == 10_100
+
+
 def test_toxicity_of_odd_rows(spark, documents, odd_rows, empty):
     labels = spark.createDataFrame([(0, 1), (5, None), (None, 1), (6, 0), (6, 1)], "doc_id long, toxic int")
     docs = documents(odd_rows)
