@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import PolicyError
 from .fixed import ACTIONS
+from .spans import part, pieces_of
 
 VIOLATION = "struct<entity_type:string,original:string,start:int,end:int,action:string,replacement:string,confidence:double>"
 VIOLATIONS = f"array<{VIOLATION}>"
@@ -48,12 +49,6 @@ def registered_actions() -> frozenset[str]:
     return frozenset(_native) | frozenset(_python)
 
 
-def native_action(name: str) -> NativeAction:
-    if name not in _native:
-        raise PolicyError(f"{check_action(name, 'this use')!r} runs in Python; here an expression is needed")
-    return _native[name]
-
-
 def stars(n: Column) -> Column:
     return F.repeat(F.lit("*"), n)
 
@@ -125,13 +120,41 @@ def with_actions(spans: Column, actions: dict[str, str], salt: str, from_python:
     return F.transform(spans, one).cast(VIOLATIONS)
 
 
-def sanitised(text: Column, violations: Column) -> Column:
-    """The text with its replacements, put together piece by piece."""
-    begin = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+def every_python_replacement(action: str, context: ActionContext) -> Column | None:
+    """As python_replacements, for one action on all types; nothing if it is an expression."""
+    if action not in _python:
+        return None
+    fn = _python[action]
+
+    @F.pandas_udf("array<string>")
+    def replace(types: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [fn(k, x, context) for k, x in zip(t, v, strict=True)] for t, v in zip(types, texts, strict=True)])
+
+    return replace
+
+
+def every_action(spans: Column, action: str, salt: str, from_python: Column | None = None) -> Column:
+    """One action for all types, whatever they are called."""
+    context = ActionContext(salt)
 
-    def add(acc: Column, v: Column) -> Column:
-        gap = F.substring(text, acc["pos"] + 1, v["start"] - acc["pos"])
-        return F.struct(v["end"].alias("pos"), F.concat(acc["out"], gap, F.coalesce(v["replacement"], v["original"])).alias("out"))
+    def one(s: Column, i: Column) -> Column:
+        replacement = _native[action](s, context) if from_python is None else from_python[i]
+        return F.struct(
+            s["entity_type"].alias("entity_type"), s["text"].alias("original"), s["start"].alias("start"), s["end"].alias("end"), F.lit(action).alias("action"),
+            replacement.alias("replacement"), s["confidence"].alias("confidence"),
+        )
 
-    whole = F.aggregate(violations, begin, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
-    return F.when(F.exists(violations, lambda v: v["replacement"].isNotNull()), whole).otherwise(text)
+    return F.transform(spans, one).cast(VIOLATIONS)
+
+
+def parts_of(text: str, violations: str) -> str:
+    """The pieces of a text that sanitised() needs, null where nothing is replaced."""
+    return f"if(exists({violations}, v -> v.replacement IS NOT NULL), {pieces_of(text)}, NULL)"
+
+
+def sanitised(text: str, violations: str, pieces: str) -> str:
+    """The text with its replacements, put together piece by piece."""
+    ends = f"slice(concat(array(0), transform({violations}, v -> v.end)), 1, size({violations}))"
+    changed = f"zip_with({violations}, {ends}, (v, e) -> concat({part(text, pieces, 'e', 'v.start - e')}, coalesce(v.replacement, v.original)))"
+    rest = f"substring({text}, element_at({violations}, -1).end + 1)"
+    return f"if({pieces} IS NULL, {text}, concat(array_join({changed}, ''), {rest}))"

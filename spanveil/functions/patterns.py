@@ -58,11 +58,12 @@ JAVA_URI = to_java(*URI_CREDENTIAL)
 
 
 def _holds(*words: str) -> str:
-    """A condition on the column _folded, in SQL: one call builds it, however many words there are."""
-    return " OR ".join(f"contains(_folded, '{w}')" for w in words)
+    """A condition on the folded text, in SQL."""
+    return " OR ".join(f"contains({{folded}}, '{w}')" for w in words)
 
 
-#: What a text must hold to match at all; cheap searches that spare most texts the pattern. _digit: whether any decimal digit is there.
+#: What a text must hold to match at all; cheap searches that spare most texts the pattern. {folded}: the folded text; {digit}: whether any
+#: decimal digit is there.
 GATES: dict[str, str] = {
     "EMAIL": _holds("@"),
     # a word of each alternative; the alternative of English streets also needs a digit
@@ -71,7 +72,7 @@ GATES: dict[str, str] = {
         "Avenida", "Plaza", "Paseo", "Carrera", "Viale", "Piazza", "Corso", "Vicolo", "Largo", "straat", "weg", "laan", "plein", "gracht", "kade", "dijk", "strasse", "straße", "gasse",
         "platz", "ring", "allee", "damm", "ufer", "chaussee",
     )
-    + " OR _digit",
+    + " OR {digit}",
     "UUID": _holds("-"),
     "MAC_ADDRESS": _holds(":", "-"),
     "IPv6": _holds("::", ":"),
@@ -81,5 +82,5 @@ GATES: dict[str, str] = {
     ),
 } | dict.fromkeys(
     ["CREDIT_CARD", "PHONE", "IBAN", "IP_ADDRESS", "TC_ID", "POSTAL_CODE", "UK_POSTAL_CODE", "US_ZIP_CODE", "EU_NATIONAL_ID", "PASSPORT", "CODICE_FISCALE", "DATE_OF_BIRTH",
-     "FINANCIAL_AMOUNT", "VAT_NUMBER", "SSN", "NIN", "VEHICLE_PLATE"], "_digit",
+     "FINANCIAL_AMOUNT", "VAT_NUMBER", "SSN", "NIN", "VEHICLE_PLATE"], "{digit}",
 )

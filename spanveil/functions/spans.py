@@ -1,10 +1,14 @@
-"""Spans as arrays of structs: finding, checking, resolving and propagating them with Catalyst expressions.
+"""Spans as arrays of structs: finding, checking, resolving and propagating them.
 
-Offsets count code points from 0, the end exclusive.
+Expressions are SQL text, since a whole scan is then built by a few calls to the JVM; they take and return texts of expressions.
+Offsets count code points from 0, the end exclusive.  An aggregate copies its state at each element, so lists are built from runs of RUN
+elements; and parts of a text are cut out of pieces of it, so that it isn't walked from its beginning for each.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,18 +16,34 @@ from .fixed import CHECKED_ENTITIES, CHECKSUM, FOLDED_FROM, FOLDED_TO, FUZZY, FU
 
 SPAN = "struct<entity_type:string,text:string,start:int,end:int,confidence:double,seq:int>"
 SPANS = f"array<{SPAN}>"
+PLACES = "array<struct<start:int,end:int>>"
+#: Elements that one aggregate goes through; code points of a piece of text.
+RUN, PIECE = 128, 4096
+_names = count()
+
+
+def literal(value: str) -> str:
+    """A text as an SQL literal, whatever the session's rules for escapes."""
+    parts = [f"r'{p}'" for p in value.split("'")]
+    return parts[0] if len(parts) == 1 else "concat(" + ", chr(39), ".join(parts) + ")"
+
+
+def bound(value: str, body) -> str:
+    """body(name) where name stands for the value, which is computed once."""
+    name = f"b{next(_names)}"
+    return f"transform(array({value}), {name} -> {body(name)})[0]"
 
 
-def no_spans() -> Column:
-    return F.array().cast(SPANS)
+def no_spans() -> str:
+    return f"cast(array() AS {SPANS})"
 
 
-def span(entity: Column | str, text: Column, start: Column, end: Column, confidence: Column | float, seq: int) -> Column:
-    entity = F.lit(entity) if isinstance(entity, str) else entity
-    confidence = F.lit(float(confidence)) if isinstance(confidence, (int, float)) else confidence
-    return F.struct(
-        entity.alias("entity_type"), text.alias("text"), start.cast("int").alias("start"), end.cast("int").alias("end"), confidence.alias("confidence"), F.lit(seq).alias("seq")
-    ).cast(SPAN)
+def span(entity: str, text: str, start: str, end: str, confidence: str | float, seq: int) -> str:
+    """entity: an expression too."""
+    return (
+        f"named_struct('entity_type', {entity}, 'text', {text}, 'start', cast({start} AS int), 'end', cast({end} AS int), "
+        f"'confidence', cast({confidence} AS double), 'seq', {seq})"
+    )
 
 
 def confidence_of(entity: str) -> float:
@@ -35,139 +55,161 @@ def fold(text: Column) -> Column:
     return F.translate(text, FOLDED_FROM, FOLDED_TO)
 
 
-def located(matches: Column, gaps: Column) -> Column:
-    """value, start and end of each match, from the matches and the pieces of text between them."""
-    kind = "array<struct<value:string,start:int,end:int>>"
+def before(values: str, zero: int, both) -> str:
+    """Of an array of whole numbers, for each the sum (or what else both(x, y) says) of all before it."""
+    begin = f"named_struct('t', {zero}, 'out', cast(array() AS array<int>))"
 
-    def add(acc: Column, z: Column) -> Column:
-        start = acc["pos"] + F.length(z["gap"])
-        end = start + F.length(z["value"])
-        one = F.struct(z["value"].alias("value"), start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(one).cast(kind)).alias("out"))
+    def through(elements: str, own: str, end: str = "a -> a") -> str:
+        return f"aggregate({elements}, {begin}, (a, z) -> named_struct('t', {both('a.t', own)}, 'out', concat(a.out, array(a.t))), {end})"
 
-    zipped = F.arrays_zip(matches.alias("value"), F.slice(gaps, 1, F.size(matches)).alias("gap"))
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("pos"), F.array().cast(kind).alias("out")), add)["out"]
+    def runs(v: str) -> str:
+        return f"transform(sequence(0, (size({v}) - 1) div {RUN}), k -> {through(f'slice({v}, k * {RUN} + 1, {RUN})', 'z')})"
 
+    def joined(r: str) -> str:
+        return f"flatten(zip_with({r}, {through(r, 'z.t', 'a -> a.out')}, (x, b) -> transform(x.out, y -> {both('y', 'b')})))"
 
-def digits_of(value: Column) -> Column:
-    return F.regexp_replace(value, "[^0-9]", "")
+    return bound(values, lambda v: bound(runs(v), joined))
 
 
-def luhn(value: Column) -> Column:
-    d = digits_of(value)
-    return (F.length(d) >= 12) & F.call_function("luhn_check", d)
+def added(x: str, y: str) -> str:
+    return f"{x} + {y}"
 
 
-def tc_id(value: Column) -> Column:
-    d = [F.substring(value, k + 1, 1).try_cast("int") for k in range(11)]
-    odd, even = d[0] + d[2] + d[4] + d[6] + d[8], d[1] + d[3] + d[5] + d[7]
-    return (F.length(value) == 11) & (F.pmod(odd * 7 - even, F.lit(10)) == d[9]) & (F.pmod(odd + even + d[9], F.lit(10)) == d[10])
+def larger(x: str, y: str) -> str:
+    return f"greatest({x}, {y})"
 
 
-def _country_lengths() -> Column:
-    return F.expr("map(" + ", ".join(f"'{k}', {n}" for k, n in IBAN_LENGTHS.items()) + ")")
+def starts_of(matches: str, gaps: str) -> str:
+    """Where each match starts, from the matches and the pieces of text between them."""
+    lengths = f"zip_with({matches}, slice({gaps}, 1, size({matches})), (v, g) -> named_struct('gap', length(g), 'n', length(v)))"
+    return bound(lengths, lambda z: f"zip_with({before(f'transform({z}, t -> t.gap + t.n)', 0, added)}, {z}, (s, t) -> s + t.gap)")
 
 
-def iban(value: Column) -> Column:
-    """Known country and remainder 1 of the number modulo 97, digit by digit; the country's length isn't asked for."""
-    clean = F.upper(F.replace(value, F.lit(" "), F.lit("")))
-    turned = F.concat(F.substring(clean, 5, 1_000), F.substring(clean, 1, 4))
+def located(matches: str, gaps: str) -> str:
+    """value and start of each match."""
+    return f"zip_with({matches}, {starts_of(matches, gaps)}, (v, s) -> named_struct('value', v, 'start', s))"
 
-    def step(a: Column, c: Column) -> Column:
-        return F.when(c.rlike("^[0-9]$"), F.pmod(a * 10 + F.ascii(c) - 48, F.lit(97))).when(c.rlike("^[A-Z]$"), F.pmod(a * 100 + F.ascii(c) - 55, F.lit(97))).otherwise(F.lit(None).cast("int"))
 
-    rest = F.aggregate(F.split(turned, ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise(step(a, c)))
-    known = F.try_element_at(_country_lengths(), F.substring(clean, 1, 2)).isNotNull()
-    return F.coalesce((F.length(clean) >= 5) & known & (rest == 1), F.lit(False))
+def pieces_of(text: str) -> str:
+    """Pieces of a text for ``part``: each begins PIECE code points behind the one before it and holds twice as many."""
+    return f"transform(sequence(0, length({text}) div {PIECE}), i -> substring({text}, i * {PIECE} + 1, {2 * PIECE}))"
 
 
-def iban_run(value: Column) -> Column:
-    """(start, end) of each IBAN of a run without separators; empty unless the run splits exactly into two or more valid ones."""
-    kind = "array<struct<start:int,end:int>>"
-    lengths, clean = _country_lengths(), F.upper(value)
-    begin = F.struct(F.lit(0).alias("pos"), F.lit(True).alias("ok"), F.array().cast(kind).alias("out"))
+def part(text: str, pieces: str, start: str, n: str) -> str:
+    """n code points of the text from start on."""
+    return f"if(({n}) > {PIECE}, substring({text}, ({start}) + 1, {n}), substring({pieces}[cast(({start}) div {PIECE} AS int)], cast(({start}) % {PIECE} AS int) + 1, {n}))"
+
+
+def luhn(value: str) -> str:
+    digits = f"regexp_replace({value}, '[^0-9]', '')"
+    return f"(length({digits}) >= 12 AND luhn_check({digits}))"
+
+
+def tc_id(value: str) -> str:
+    d = [f"try_cast(substring({value}, {k + 1}, 1) AS int)" for k in range(11)]
+    odd, even = " + ".join(d[0:9:2]), " + ".join(d[1:8:2])
+    return f"(length({value}) = 11 AND pmod(({odd}) * 7 - ({even}), 10) = {d[9]} AND pmod({odd} + {even} + {d[9]}, 10) = {d[10]})"
 
-    def peel(s: Column, _: Column) -> Column:
-        n = F.try_element_at(lengths, F.substring(clean, s["pos"] + 1, F.lit(2)))
-        end = s["pos"] + n
-        more = s["pos"] < F.length(clean)
-        good = s["ok"] & n.isNotNull() & (end <= F.length(clean)) & iban(F.substring(clean, s["pos"] + 1, n))
-        one = F.array(F.struct(s["pos"].alias("start"), end.alias("end"))).cast(kind)
-        return F.when(~more, s).otherwise(
-            F.struct(F.when(good, end).otherwise(s["pos"]).alias("pos"), F.coalesce(good, F.lit(False)).alias("ok"), F.when(good, F.concat(s["out"], one)).otherwise(s["out"]).alias("out"))
-        )
 
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(8)), begin, peel)
-    return F.when(done["ok"] & (done["pos"] == F.length(clean)) & (F.size(done["out"]) >= 2), done["out"]).otherwise(F.array().cast(kind))
+def _country_lengths() -> str:
+    return "map(" + ", ".join(f"'{k}', {n}" for k, n in IBAN_LENGTHS.items()) + ")"
 
 
-def overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+def _valid_number(clean: str) -> str:
+    """Of capitals and digits without separators: known country and remainder 1 modulo 97, nine digits at a time; the country's length isn't asked for."""
+    known = f"substring({clean}, 1, 2) IN ({', '.join(repr(k) for k in IBAN_LENGTHS)})"
+    turned = f"concat(substring({clean}, 5), substring({clean}, 1, 4))"
+    digits = f"array_join(transform(split({turned}, ''), x -> if(x <= '9', x, cast(ascii(x) - 55 AS string))), '')"
 
+    def remainder(d: str) -> str:
+        return f"aggregate(sequence(1, length({d}), 9), cast(0 AS bigint), (r, i) -> try_cast(concat(cast(r AS string), substring({d}, i, 9)) AS bigint) % 97)"
 
-def resolve(spans: Column) -> Column:
-    """A set without overlaps: by confidence, then length, then start, then order; sorted by start."""
+    return f"(length({clean}) >= 5 AND {known} AND {clean} RLIKE '^[0-9A-Z]+$' AND {bound(digits, remainder)} = 1)"
 
-    def by_rank(a: Column, b: Column) -> Column:
-        long_a, long_b = a["end"] - a["start"], b["end"] - b["start"]
-        return (
-            F.when(a["confidence"] != b["confidence"], F.when(a["confidence"] > b["confidence"], -1).otherwise(1))
-            .when(long_a != long_b, long_b - long_a)
-            .when(a["start"] != b["start"], a["start"] - b["start"])
-            .otherwise(a["seq"] - b["seq"])
-        )
 
-    def accept(kept: Column, s: Column) -> Column:
-        return F.when(F.exists(kept, lambda k: overlaps(s, k)), kept).otherwise(F.concat(kept, F.array(s)))
+def iban(value: str) -> str:
+    return f"coalesce({bound(f"upper(replace({value}, ' ', ''))", _valid_number)}, false)"
 
-    kept = F.aggregate(F.array_sort(spans, by_rank), no_spans(), accept)
-    by_start = F.array_sort(kept, lambda a, b: a["start"] - b["start"])
-    return F.when(F.size(spans) <= 1, spans).otherwise(by_start)
+
+def iban_run(value: str) -> str:
+    """(start, end) of each IBAN of a run without separators; empty unless the run splits exactly into two or more valid ones."""
+
+    def split_up(clean: str) -> str:
+        def peel(n: str) -> str:
+            whole = f"{n} IS NOT NULL AND s.pos + {n} <= length({clean}) AND {iban(f'substring({clean}, s.pos + 1, {n})')}"
+            good = f"named_struct('pos', s.pos + {n}, 'ok', true, 'out', concat(s.out, array(named_struct('start', s.pos, 'end', s.pos + {n}))))"
+            return f"if({whole}, {good}, named_struct('pos', s.pos, 'ok', false, 'out', s.out))"
+
+        step = bound(f"try_element_at({_country_lengths()}, substring({clean}, s.pos + 1, 2))", peel)
+        begin = f"named_struct('pos', 0, 'ok', true, 'out', cast(array() AS {PLACES}))"
+        done = f"aggregate(sequence(1, 8), {begin}, (s, k) -> if(s.ok AND s.pos < length({clean}), {step}, s))"
+        return bound(done, lambda d: f"if({d}.ok AND {d}.pos = length({clean}) AND size({d}.out) >= 2, {d}.out, cast(array() AS {PLACES}))")
+
+    # no two numbers are shorter together
+    least = 2 * min(IBAN_LENGTHS.values())
+    return f"if(length({value}) < {least}, cast(array() AS {PLACES}), {bound(f'upper({value})', split_up)})"
 
 
-def quoted(value: Column) -> Column:
-    return F.concat(F.lit("\\Q"), F.replace(value, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+def _greedy(cluster: str) -> str:
+    """Of spans that touch: by confidence, then length, then start, then order; sorted by start."""
+    ranked = f"sort_array(transform({cluster}, t -> named_struct('c', -t.confidence, 'n', t.start - t.end, 'a', t.start, 'q', t.seq, 't', t)))"
+    free = "forall(kept, k -> r.t.start >= k.end OR k.start >= r.t.end)"
+    kept = f"aggregate({ranked}, {no_spans()}, (kept, r) -> if({free}, concat(kept, array(r.t)), kept))"
+    return f"transform(sort_array(transform({kept}, t -> named_struct('a', t.start, 't', t))), r -> r.t)"
 
 
-def piece_starts(pieces: Column) -> Column:
-    """Where each piece of a split text starts when nothing lies between them."""
-    begin = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(pieces, begin, lambda a, p: F.struct((a["pos"] + F.length(p)).alias("pos"), F.concat(a["out"], F.array(a["pos"])).alias("out")))["out"]
+def resolve(spans: str) -> str:
+    """A set without overlaps: by confidence, then length, then start, then order; sorted by start.
 
+    Only spans that touch, directly or through others, can rule each other out: such clusters are resolved one by one.
+    """
 
-def value_spans(text: Column, value: str, entity: str, seq: int) -> Column:
+    def clustered(by_start: str) -> str:
+        reached = before(f"transform({by_start}, x -> x.end)", -1, larger)
+        firsts = bound(reached, lambda r: f"filter(sequence(0, size({by_start}) - 1), i -> {by_start}[i].start >= {r}[i])")
+        slices = bound(firsts, lambda f: f"zip_with({f}, concat(slice({f}, 2, size({f})), array(size({by_start}))), (i, j) -> transform(slice({by_start}, i + 1, j - i), x -> x.s))")
+        apart = f"forall(zip_with({by_start}, slice({by_start}, 2, size({by_start})), (x, y) -> y IS NULL OR y.start >= x.end), ok -> ok)"
+        return f"if({apart}, transform({by_start}, x -> x.s), flatten(transform({slices}, c -> if(size(c) = 1, c, {_greedy('c')}))))"
+
+    by_start = f"sort_array(transform({spans}, s -> named_struct('start', s.start, 'end', s.end, 's', s)))"
+    return f"if(size({spans}) <= 1, {spans}, {bound(by_start, clustered)})"
+
+
+def value_spans(text: str, value: str, entity: str, seq: int) -> str:
     """Every occurrence of a denied value, overlapping ones too."""
-    n = len(value)
-    pieces = F.split(text, "(?=" + "\\Q" + value.replace("\\E", "\\E\\\\E\\Q") + "\\E)", -1)
-    starts = F.filter(piece_starts(pieces), lambda p: F.substring(text, p + 1, F.lit(n)) == value)
-    found = F.transform(starts, lambda p: span(entity, F.lit(value), p, p + n, CHECKSUM, seq))
-    return F.when(F.contains(text, F.lit(value)), found).otherwise(no_spans())
+    n, quoted = len(value), literal("(?=\\Q" + value.replace("\\E", "\\E\\\\E\\Q") + "\\E)")
+    found = f"split({text}, {quoted}, -1)"
+
+    def at(pieces: str) -> str:
+        # a piece but the first begins where the value does; the first may, too
+        starts = before(f"transform({pieces}, p -> length(p))", 0, added)
+        kept = f"filter({starts}, (s, i) -> i > 0 OR startswith({text}, {literal(value)}))"
+        return f"transform({kept}, s -> {span(literal(entity), literal(value), 's', f's + {n}', CHECKSUM, seq)})"
+
+    return f"if(contains({text}, {literal(value)}), {bound(found, at)}, {no_spans()})"
 
 
-def allowed_removed(spans: Column, allowlist: list[str]) -> Column:
-    return F.filter(spans, lambda s: ~F.array_contains(F.array(*[F.lit(a) for a in allowlist]), s["text"])) if allowlist else spans
+def allowed_removed(spans: str, allowlist: list[str]) -> str:
+    return f"filter({spans}, s -> NOT array_contains(array({', '.join(literal(a) for a in allowlist)}), s.text))" if allowlist else spans
 
 
-def propagate(spans: Column, text: Column, min_length: int) -> Column:
+def propagate(spans: str, text: str, min_length: int) -> str:
     """Adds the other occurrences of each found value that no letter or digit touches, and resolves again."""
-    long = F.filter(spans, lambda s: F.length(s["text"]) >= min_length)
-    begin = no_spans()
-
-    def best(acc: Column, s: Column) -> Column:
-        known = F.exists(acc, lambda k: k["text"] == s["text"])
-        swap = F.transform(acc, lambda k: F.when((k["text"] == s["text"]) & (s["confidence"] > k["confidence"]), s).otherwise(k))
-        return F.when(known, swap).otherwise(F.concat(acc, F.array(s)))
-
-    def others(s: Column) -> Column:
-        n = F.length(s["text"])
-        gaps = F.split(text, quoted(s["text"]), F.lit(-1))
-        begins = F.aggregate(
-            F.slice(gaps, F.lit(1), F.size(gaps) - 1), F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out")),
-            lambda a, g: F.struct((a["pos"] + F.length(g) + n).alias("pos"), F.concat(a["out"], F.array(a["pos"] + F.length(g))).alias("out")),
-        )["out"]
-        glued = lambda p: F.substring(text, p, F.lit(1)).rlike(r"^[\p{L}\p{N}]$")
-        free = F.filter(begins, lambda p: ~((p > 0) & glued(p)) & ~glued(p + n + 1) & ~F.exists(spans, lambda k: (k["start"] == p) & (k["end"] == p + n)))
-        return F.transform(free, lambda p: span(s["entity_type"], s["text"], p, p + n, s["confidence"], 1 << 20))
-
-    extra = F.flatten(F.transform(F.aggregate(long, begin, best), others))
-    return F.when(F.size(spans) == 0, spans).otherwise(resolve(F.concat(spans, extra)))
+    # of equal values the surest, then the first found stands for all
+    listed = f"sort_array(transform(filter({spans}, s -> length(s.text) >= {min_length}), (s, i) -> named_struct('text', s.text, 'less', -s.confidence, 'i', i, 's', s)))"
+    best = bound(listed, lambda r: f"transform(filter({r}, (x, i) -> i = 0 OR {r}[i - 1].text != x.text), x -> x.s)")
+    quoted = r"concat(r'\Q', replace(v.text, r'\E', r'\E\\E\Q'), r'\E')"
+
+    def elsewhere(gaps: str) -> str:
+        letter = r"RLIKE r'^[\p{L}\p{N}]$'"
+        # where nothing lies between two occurrences, they touch each other
+        last = f"if({gaps}[i] != '', right({gaps}[i], 1), if(i > 0, right(v.text, 1), ''))"
+        first = f"if({gaps}[i + 1] != '', left({gaps}[i + 1], 1), if(i + 2 < size({gaps}), left(v.text, 1), ''))"
+        starts = starts_of(f"array_repeat(v.text, size({gaps}) - 1)", gaps)
+        free = bound(starts, lambda at: f"transform(filter(sequence(0, size({gaps}) - 2), i -> NOT {last} {letter} AND NOT {first} {letter}), i -> {at}[i])")
+        known = f"transform(filter({spans}, k -> k.end - k.start = length(v.text)), k -> k.start)"
+        made = f"transform(array_except({free}, {known}), p -> {span('v.entity_type', 'v.text', 'p', 'p + length(v.text)', 'v.confidence', 1 << 20)})"
+        return f"if(size({gaps}) < 2, {no_spans()}, {made})"
+
+    extra = f"flatten(transform({best}, v -> {bound(f'split({text}, {quoted}, -1)', elsewhere)}))"
+    return f"if(size({spans}) = 0, {spans}, {bound(f'concat({spans}, {extra})', resolve)})"

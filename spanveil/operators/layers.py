@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ NerModel = Callable[[list[str]], list[list[tuple[str, int, int]]]]
 _ner: dict[str, Callable[[], NerModel]] = {}
 _loaded: dict[str, NerModel] = {}
 
+#: Seconds that a pattern of one's own may take for a text; texts that a named-entity model gets at once; calls of a language model under way in a task.
+PATTERN_SECONDS, NER_BATCH, LLM_CALLS = 2.0, 64, 8
 LAYER = f"struct<spans:{SPANS},warning:string>"
 
 
@@ -79,20 +82,24 @@ def detector_spans(name: str, seq: int):
     return find.asNondeterministic()
 
 
-def python_pattern_spans(entries: list[tuple[str, str, float]], seq: int):
-    """entries: (entity type, pattern, confidence). Patterns have been checked when the policy was made."""
-    import re
+def python_pattern_spans(entries: list[tuple[str, str, float]], seq: int, seconds: float = PATTERN_SECONDS):
+    """entries: (entity type, pattern, confidence). A pattern that takes longer than so many seconds on a text finds nothing there, and the row gets a warning."""
+    import regex
 
-    compiled = [(e, re.compile(p), c) for e, p, c in entries]
+    compiled = [(e, regex.compile(p, regex.V0), c) for e, p, c in entries]
 
-    @F.pandas_udf(SPANS)
-    def find(texts: pd.Series) -> pd.Series:
-        return pd.Series([
-            [] if t is None else [
-                {"entity_type": e, "text": m.group(), "start": m.start(), "end": m.end(), "confidence": c, "seq": seq + k}
-                for k, (e, p, c) in enumerate(compiled) for m in p.finditer(t)
-            ] for t in texts
-        ])
+    @F.pandas_udf(LAYER)
+    def find(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            spans, late = [], []
+            for k, (e, p, c) in enumerate(compiled if t is not None else ()):
+                try:
+                    spans += [{"entity_type": e, "text": m.group(), "start": m.start(), "end": m.end(), "confidence": c, "seq": seq + k} for m in list(p.finditer(t, timeout=seconds))]
+                except TimeoutError:
+                    late.append(e)
+            out.append((spans, f"patterns that took over {seconds:g} s were skipped: {', '.join(late)}" if late else None))
+        return pd.DataFrame(out, columns=["spans", "warning"])
 
     return find
 
@@ -102,24 +109,33 @@ def ner_spans(model: str, wanted: set[str], seq: int):
         _ner[model] = spacy_model(model)
     load = _ner[model]
 
+    def found(text: str, entities: list[tuple[str, int, int]]) -> list[dict]:
+        rows = []
+        for label, a, b in entities:
+            kind, value = NER_LABELS.get(label), text[a:b]
+            if kind in wanted and not only_stopwords(value) and (kind != "PERSON" or like_a_person(value)):
+                rows.append({"entity_type": kind, "text": value, "start": a, "end": b, "confidence": MODEL, "seq": seq})
+        return rows
+
+    def asked(texts: list[str]) -> list[tuple[list[dict], str | None]]:
+        """All texts at once; where the model fails on them, one by one."""
+        try:
+            if model not in _loaded:
+                _loaded[model] = load()
+            return [(found(t, entities), None) for t, entities in zip(texts, _loaded[model](texts), strict=True)]
+        except Exception as e:  # noqa: BLE001  a layer's failure is told, not passed on
+            if len(texts) == 1 or model not in _loaded:
+                return [([], f"NERDetector did not run: {e}")] * len(texts)
+            return [asked([t])[0] for t in texts]
+
     @F.pandas_udf(LAYER)
     def find(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in texts:
-            if not t:
-                out.append(([], None))
-                continue
-            try:
-                if model not in _loaded:
-                    _loaded[model] = load()
-                rows = []
-                for label, a, b in _loaded[model]([t])[0]:
-                    kind, value = NER_LABELS.get(label), t[a:b]
-                    if kind in wanted and not only_stopwords(value) and (kind != "PERSON" or like_a_person(value)):
-                        rows.append({"entity_type": kind, "text": value, "start": a, "end": b, "confidence": MODEL, "seq": seq})
-                out.append((rows, None))
-            except Exception as e:  # noqa: BLE001  a layer's failure is told, not passed on
-                out.append(([], f"NERDetector did not run: {e}"))
+        out: list[tuple[list[dict], str | None]] = [([], None)] * len(texts)
+        full = [i for i, t in enumerate(texts) if t]
+        for at in range(0, len(full), NER_BATCH):
+            some = full[at : at + NER_BATCH]
+            for i, row in zip(some, asked([texts.iloc[i] for i in some]), strict=True):
+                out[i] = row
         return pd.DataFrame(out, columns=["spans", "warning"])
 
     # a model is asked once for each text: the optimizer must not repeat the call
@@ -158,10 +174,16 @@ def llm_spans(layer: ModelLayer, seq: int):
 
     @F.pandas_udf(LAYER)
     def find(texts: pd.Series, candidates: pd.Series) -> pd.DataFrame:
-        backend, out = make(), []
-        for t, c in zip(texts, candidates, strict=True):
+        backend = make()
+
+        def ask(row: tuple) -> tuple[list[dict], str | None]:
+            t, c = row
             rows, warning = ([], None) if t is None else find_with_llm(backend, layer, t, None if c is None else list(c), _answers)
-            out.append(([{"entity_type": k, "text": v, "start": a, "end": b, "confidence": MODEL, "seq": seq} for k, v, a, b in rows], warning))
+            return [{"entity_type": k, "text": v, "start": a, "end": b, "confidence": MODEL, "seq": seq} for k, v, a, b in rows], warning
+
+        # the calls wait for a server, so several are under way at a time
+        with ThreadPoolExecutor(LLM_CALLS) as pool:
+            out = list(pool.map(ask, zip(texts, candidates, strict=True)))
         return pd.DataFrame(out, columns=["spans", "warning"])
 
     # a model is asked once for each text: the optimizer must not repeat the call

@@ -8,7 +8,7 @@ A null text gives a null result.  A text over the size limit keeps its text and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import actions as act
@@ -33,146 +33,168 @@ def hide_salt(df: DataFrame, policy: Policy) -> None:
             spark.conf.set("spark.sql.redaction.string.regex", f"{old}|{mine}" if old else mine)
 
 
-def _original(text: Column, start: Column, end: Column) -> Column:
-    return F.substring(text, start + 1, end - start)
+def free_prefix(columns: list[str]) -> str:
+    """A beginning that none of the caller's columns has, for the names of the scan's own."""
+    prefix = "_scan_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = f"_{prefix}"
+    return prefix
 
 
-def _plain_spans(places: Column, text: Column, entity: str, seq: int) -> Column:
-    return F.transform(places, lambda p: sp.span(entity, _original(text, p["start"], p["end"]), p["start"], p["end"], sp.confidence_of(entity), seq))
+def _original(p: str, match: str) -> str:
+    """What the text holds where a match in the folded text is."""
+    return f"if({p}same, {match}.value, {sp.part(f'{p}text', f'{p}pieces', f'{match}.start', f'length({match}.value)')})"
 
 
-def _iban_spans(places: Column, text: Column, seq: int) -> Column:
+def _plain_spans(places: str, p: str, entity: str, seq: int) -> str:
+    made = sp.span(f"'{entity}'", _original(p, "m"), "m.start", "m.start + length(m.value)", sp.confidence_of(entity), seq)
+    return f"transform({places}, m -> {made})"
+
+
+def _iban_spans(places: str, p: str, seq: int) -> str:
     """Valid IBANs, and the parts of valid runs of them."""
-    kind = "array<struct<start:int,end:int>>"
+    whole = "array(named_struct('start', 0, 'end', length(m.value)))"
+    run = f"if(contains(m.value, ' '), cast(array() AS {sp.PLACES}), {sp.iban_run('m.value')})"
+    text = sp.part(f"{p}text", f"{p}pieces", "m.start + r.start", "r.end - r.start")
+    text = f"if({p}same, substring(m.value, r.start + 1, r.end - r.start), {text})"
+    made = sp.span("'IBAN'", text, "m.start + r.start", "m.start + r.end", sp.confidence_of("IBAN"), seq)
+    return f"flatten(transform({places}, m -> transform(if({sp.iban('m.value')}, {whole}, {run}), r -> {made})))"
 
-    def parts(p: Column) -> Column:
-        whole = F.array(F.struct(F.lit(0).alias("start"), F.length(p["value"]).alias("end"))).cast(kind)
-        run = F.when(~F.contains(p["value"], F.lit(" ")), sp.iban_run(p["value"])).otherwise(F.array().cast(kind))
-        found = F.when(sp.iban(p["value"]), whole).otherwise(run)
-        return F.transform(found, lambda r: sp.span("IBAN", _original(text, p["start"] + r["start"], p["start"] + r["end"]), p["start"] + r["start"], p["start"] + r["end"], sp.confidence_of("IBAN"), seq))
 
-    return F.flatten(F.transform(places, parts))
+def _but_passwords(places: str, passwords: str) -> str:
+    """Places that don't start where a password does."""
+    both = f"concat(transform({places}, m -> named_struct('start', m.start, 'mail', 1, 'm', m)), transform({passwords}, s -> named_struct('start', s.start, 'mail', 0, 'm', NULL)))"
+    kept = lambda b: f"filter({b}, (x, i) -> x.mail = 1 AND NOT (i > 0 AND {b}[i - 1].mail = 0 AND {b}[i - 1].start = x.start))"
+    return f"transform({sp.bound(f'sort_array({both})', kept)}, x -> x.m)"
 
 
-def _builtin(df: DataFrame, policy: Policy) -> tuple[DataFrame, list[str]]:
+def _builtin(df: DataFrame, policy: Policy, p: str) -> tuple[DataFrame, list[str]]:
     """Adds a column of spans for each pattern layer in play; returns their names in the order that breaks ties."""
     wanted = [e for e in PATTERNS if policy.entities.get(e, (False, ""))[0]]
     if not wanted:
         return df, []
-    text, folded = F.col("_text"), F.col("_folded")
-    df = df.withColumn("_folded", sp.fold(text) if policy.fold else text)
-    nothing = F.array().cast("array<string>")
-    df = df.withColumn("_digit", folded.rlike(r"\p{Nd}"))
+    text, folded, names = f"{p}text", f"{p}folded", {"folded": f"{p}folded", "digit": f"{p}digit"}
+    df = df.withColumn(folded, sp.fold(F.col(text)) if policy.fold else F.col(text))
+    df = df.selectExpr(
+        "*", rf"{folded} RLIKE r'\p{{Nd}}' AS {p}digit", f"{text} = {folded} AS {p}same", f"if({text} = {folded}, NULL, {sp.pieces_of(text)}) AS {p}pieces",
+    )
     uri = bool({"EMAIL", "CUSTOM_SECRET"} & set(wanted))
-    found = {}
+    matches = []
     for e in wanted:
-        m = F.regexp_extract_all(folded, F.lit(JAVA[e]), F.lit(0))
-        found[f"_m_{e}"] = F.when(F.expr(GATES[e]), m).otherwise(nothing) if e in GATES else m
-    if uri:
-        some = F.contains(folded, F.lit("://"))
-        found["_m_uri"] = F.when(some, F.regexp_extract_all(folded, F.lit(JAVA_URI), F.lit(0))).otherwise(nothing)
-        found["_w_uri"] = F.when(some, F.regexp_extract_all(folded, F.lit(JAVA_URI), F.lit(1))).otherwise(nothing)
-    df = df.withColumns(found)
-    # the second pass over a text only where the first found something
-    places = {f"_p_{e}": F.when(F.size(f"_m_{e}") > 0, sp.located(F.col(f"_m_{e}"), F.split(folded, JAVA[e], -1))) for e in wanted}
+        all_of = f"regexp_extract_all({folded}, {sp.literal(JAVA[e])}, 0)"
+        matches.append((f"if({GATES[e].format(**names)}, {all_of}, cast(array() AS array<string>))" if e in GATES else all_of) + f" AS {p}m_{e}")
     if uri:
-        places["_p_uri"] = F.when(F.size("_m_uri") > 0, sp.located(F.col("_m_uri"), F.split(folded, JAVA_URI, -1)))
-    df = df.withColumns(places)
-    names, out = [], {}
-    if uri:
-        zipped = F.arrays_zip(F.col("_p_uri").alias("p"), F.col("_w_uri").alias("w"))
+        for name, group in (("m", 0), ("w", 1)):
+            matches.append(f"if(contains({folded}, '://'), regexp_extract_all({folded}, {sp.literal(JAVA_URI)}, {group}), cast(array() AS array<string>)) AS {p}{name}_uri")
+    df = df.selectExpr("*", *matches)
 
-        def password(z: Column) -> Column:
-            end = z["p"]["end"] - 1
-            start = end - F.length(z["w"])
-            return sp.span("CUSTOM_SECRET", _original(text, start, end), start, end, sp.confidence_of("CUSTOM_SECRET"), 0)
+    # the second pass over a text only where the first found something
+    def places(name: str, pattern: str) -> str:
+        return sp.located(f"{p}m_{name}", f"split({folded}, {sp.literal(pattern)}, -1)")
 
-        out["_s_uri"] = F.when(F.size("_m_uri") > 0, F.transform(zipped, password)).otherwise(sp.no_spans())
+    order = []
+    if uri:
+        word = {"start": "u.m.start + length(u.m.value) - 1 - length(u.w)", "end": "u.m.start + length(u.m.value) - 1"}
+        secret = f"if({p}same, u.w, {sp.part(text, f'{p}pieces', word['start'], 'length(u.w)')})"
+        made = sp.span("'CUSTOM_SECRET'", secret, word["start"], word["end"], sp.confidence_of("CUSTOM_SECRET"), 0)
+        zipped = f"zip_with({places('uri', JAVA_URI)}, {p}w_uri, (m, w) -> named_struct('m', m, 'w', w))"
+        df = df.selectExpr("*", f"if(size({p}m_uri) > 0, transform({zipped}, u -> {made}), {sp.no_spans()}) AS {p}s_uri")
         if "CUSTOM_SECRET" in wanted:
-            names.append("_s_uri")
-        df = df.withColumns(out)
-        out = {}
+            order.append(f"{p}s_uri")
+    out = []
     for k, e in enumerate(wanted, 1):
-        places = F.col(f"_p_{e}")
+        at = places(e, JAVA[e])
         if e == "CREDIT_CARD":
-            places = F.filter(places, lambda p: sp.luhn(p["value"]))
+            at = f"filter({at}, m -> {sp.luhn('m.value')})"
         elif e == "TC_ID":
-            places = F.filter(places, lambda p: sp.tc_id(p["value"]))
+            at = f"filter({at}, m -> {sp.tc_id('m.value')})"
         elif e == "EMAIL":
-            places = F.filter(places, lambda p: ~F.exists("_s_uri", lambda s: s["start"] == p["start"]))
-        made = _iban_spans(places, text, k) if e == "IBAN" else _plain_spans(places, text, e, k)
-        out[f"_s_{e}"] = F.when(F.size(f"_m_{e}") > 0, made).otherwise(sp.no_spans())
-        names.append(f"_s_{e}")
-    return df.withColumns(out), names
-
-
-def raw_spans(df: DataFrame, policy: Policy) -> DataFrame:
-    """Adds _spans (all layers, unresolved) and _warnings to a table with _text (null where nothing is to be scanned)."""
-    df, names = _builtin(df, policy)
-    columns, warnings = [F.col(n) for n in names], []
-    text, seq = F.col("_text"), len(PATTERNS) + 1
+            at = f"if(size({p}m_uri) = 0, {at}, {_but_passwords(at, f'{p}s_uri')})"
+        made = _iban_spans(at, p, k) if e == "IBAN" else _plain_spans(at, p, e, k)
+        out.append(f"if(size({p}m_{e}) > 0, {made}, {sp.no_spans()}) AS {p}s_{e}")
+        order.append(f"{p}s_{e}")
+    return df.selectExpr("*", *out), order
+
+
+def raw_spans(df: DataFrame, policy: Policy, p: str) -> DataFrame:
+    """Adds the columns spans (all layers, unresolved) and warnings to a table with text (null where nothing is to be scanned); p begins their names."""
+    df, columns = _builtin(df, policy, p)
+    warnings = []
+    text, seq = F.col(f"{p}text"), len(PATTERNS) + 1
     if policy.custom_patterns:
         from_python = python_pattern_spans([(n, c["pattern"], sp.confidence_of(n)) for n, c in policy.custom_patterns.items()], seq)
-        df = df.withColumn("_custom", from_python(text))
-        columns.append(F.col("_custom"))
+        df = df.withColumn(f"{p}custom", from_python(text))
+        columns.append(f"{p}custom.spans")
+        warnings.append(f"{p}custom.warning")
     seq += len(policy.custom_patterns)
     for k, model in enumerate(policy.ner_models):
         wanted = {e for e, (on, _) in policy.entities.items() if on}
-        df = df.withColumn(f"_ner{k}", ner_spans(model, wanted, seq + k)(text))
-        columns.append(F.col(f"_ner{k}.spans"))
-        warnings.append(F.col(f"_ner{k}.warning"))
+        df = df.withColumn(f"{p}ner{k}", ner_spans(model, wanted, seq + k)(text))
+        columns.append(f"{p}ner{k}.spans")
+        warnings.append(f"{p}ner{k}.warning")
     seq += len(policy.ner_models)
     for k, name in enumerate(policy.detectors):
-        df = df.withColumn(f"_own{k}", detector_spans(name, seq + k)(text))
-        columns.append(F.col(f"_own{k}.spans"))
-        warnings.append(F.col(f"_own{k}.warning"))
+        df = df.withColumn(f"{p}own{k}", detector_spans(name, seq + k)(text))
+        columns.append(f"{p}own{k}.spans")
+        warnings.append(f"{p}own{k}.warning")
     seq += len(policy.detectors)
     if policy.llm.enabled:
-        candidates = F.concat(*columns) if columns else sp.no_spans()
-        df = df.withColumn("_candidates", F.when(text.isNotNull(), candidates)).withColumn("_llm", llm_spans(policy.llm, seq)(text, F.col("_candidates")))
-        kept = F.filter("_candidates", lambda s: s["confidence"] >= ADJUDICATION_KEEPS) if policy.llm.adjudicate else F.col("_candidates")
-        columns = [kept, F.col("_llm.spans")]
-        warnings.append(F.col("_llm.warning"))
+        candidates = f"concat({', '.join(columns)})" if columns else sp.no_spans()
+        df = df.selectExpr("*", f"if({p}text IS NOT NULL, {candidates}, NULL) AS {p}candidates").withColumn(f"{p}llm", llm_spans(policy.llm, seq)(text, F.col(f"{p}candidates")))
+        columns = [f"filter({p}candidates, s -> s.confidence >= {ADJUDICATION_KEEPS})" if policy.llm.adjudicate else f"{p}candidates", f"{p}llm.spans"]
+        warnings.append(f"{p}llm.warning")
     seq += 1
     denied = [e for e in policy.denylist if "pattern" in e]
     if denied:
-        df = df.withColumn("_denied", python_pattern_spans([(e.get("entity_type", "CUSTOM"), e["pattern"], 1.0) for e in denied], seq)(text))
-        columns.append(F.col("_denied"))
+        df = df.withColumn(f"{p}denied", python_pattern_spans([(e.get("entity_type", "CUSTOM"), e["pattern"], 1.0) for e in denied], seq)(text))
+        columns.append(f"{p}denied.spans")
+        warnings.append(f"{p}denied.warning")
     for k, e in enumerate(policy.denylist):
         if "pattern" not in e and e["value"]:
-            columns.append(sp.value_spans(text, e["value"], e.get("entity_type", "CUSTOM"), seq + 1 + k))
-    every = F.concat(*columns) if columns else sp.no_spans()
-    told = F.filter(F.array(*warnings), lambda w: w.isNotNull()) if warnings else F.array().cast("array<string>")
+            columns.append(sp.value_spans(f"{p}text", e["value"], e.get("entity_type", "CUSTOM"), seq + 1 + k))
+    every = f"concat({', '.join(columns)})" if columns else sp.no_spans()
+    told = f"filter(array({', '.join(warnings)}), w -> w IS NOT NULL)" if warnings else "cast(array() AS array<string>)"
     # the place in the list breaks ties
-    return df.withColumn("_spans", F.transform(every, lambda s, i: s.withField("seq", i))).withColumn("_warnings", told)
+    numbered = f"transform({every}, (s, i) -> {sp.span('s.entity_type', 's.text', 's.start', 's.end', 's.confidence', 'i')})"
+    return df.selectExpr("*", f"{numbered} AS {p}spans", f"{told} AS {p}warnings")
+
+
+def _result(p: str, original: str, error: str, warnings: str) -> str:
+    """The struct of a scan, from the column violations."""
+    return (
+        f"cast(named_struct('original_text', {original}, 'sanitized_text', {act.sanitised(original, f'{p}violations', f'{p}parts')}, 'is_clean', size({p}violations) = 0, "
+        f"'scan_error', {error}, 'warnings', {warnings}, 'violations', {p}violations) AS {RESULT})"
+    )
 
 
 def scan(df: DataFrame, policy: Policy, text_col: str = "text", out_col: str = "scan") -> DataFrame:
-    """Adds a struct of RESULT's kind to every row."""
+    """Adds a struct of RESULT's kind to every row; a column that has this name already is replaced. All others are returned as they were."""
     hide_salt(df, policy)
-    columns, text = df.columns, F.col("_original")
-    size = F.octet_length(text)
-    work = df.withColumn("_original", F.col(text_col).cast("string"))
-    work = work.withColumn("_too_large", size > policy.max_text_bytes).withColumn("_text", F.when(F.col("_too_large"), F.lit(None).cast("string")).otherwise(text))
-    work = raw_spans(work, policy)
-    work = work.withColumn("_kept", sp.allowed_removed(sp.resolve(F.col("_spans")), list(policy.allowlist)))
+    columns, p = [c for c in df.columns if c.lower() != out_col.lower()], free_prefix(df.columns)
+    work = df.withColumn(f"{p}original", F.col(text_col).cast("string"))
+    work = work.selectExpr("*", f"octet_length({p}original) > {policy.max_text_bytes} AS {p}too_large", f"if(octet_length({p}original) > {policy.max_text_bytes}, NULL, {p}original) AS {p}text")
+    work = raw_spans(work, policy, p)
+    kept = sp.allowed_removed(sp.resolve(f"{p}spans"), list(policy.allowlist))
     if policy.propagate:
-        work = work.withColumn("_kept", sp.propagate(F.col("_kept"), F.col("_text"), policy.propagate_min_length))
-    work = work.withColumn("_kept", F.coalesce("_kept", sp.no_spans()))
+        work = work.selectExpr("*", f"{kept} AS {p}first")
+        kept = sp.propagate(f"{p}first", f"{p}text", policy.propagate_min_length)
+    work = work.selectExpr("*", f"coalesce({kept}, {sp.no_spans()}) AS {p}kept")
     chosen = policy.actions()
     python = act.python_replacements(chosen, act.ActionContext(policy.salt))
     if python is not None:
-        work = work.withColumn("_python", python(F.transform("_kept", lambda s: s["entity_type"]), F.transform("_kept", lambda s: s["text"])))
-    work = work.withColumn("_violations", act.with_actions(F.col("_kept"), chosen, policy.salt, F.col("_python") if python is not None else None))
-    error = F.when(
-        F.col("_too_large"),
-        F.concat(F.lit("ValueError: Input text is too large: "), F.format_number(size, 0), F.lit(f" bytes (maximum: {policy.max_text_bytes:,} bytes). Split the text into smaller chunks.")),
-    )
-    result = F.struct(
-        text.alias("original_text"), act.sanitised(text, F.col("_violations")).alias("sanitized_text"), (F.size("_violations") == 0).alias("is_clean"), error.alias("scan_error"),
-        F.coalesce("_warnings", F.array().cast("array<string>")).alias("warnings"), F.col("_violations").alias("violations"),
-    ).cast(RESULT)
-    return work.select(*[F.col(f"`{c}`") for c in columns], F.when(text.isNotNull(), result).alias(out_col))
+        work = work.withColumn(f"{p}python", python(F.expr(f"{p}kept.entity_type"), F.expr(f"{p}kept.text")))
+    work = work.withColumn(f"{p}violations", act.with_actions(F.col(f"{p}kept"), chosen, policy.salt, F.col(f"{p}python") if python is not None else None))
+    work = work.selectExpr("*", f"{act.parts_of(f'{p}original', f'{p}violations')} AS {p}parts")
+    size = f"format_number(octet_length({p}original), 0)"
+    error = f"if({p}too_large, concat('ValueError: Input text is too large: ', {size}, ' bytes (maximum: {policy.max_text_bytes:,} bytes). Split the text into smaller chunks.'), NULL)"
+    result = _result(p, f"{p}original", error, f"coalesce({p}warnings, cast(array() AS array<string>))")
+    # a generator, or a filter on the result would be pushed below it and evaluate the whole scan once more
+    made = F.explode(F.array(F.expr(f"if({p}original IS NOT NULL, {result}, NULL)"))).alias(out_col)
+    return work.select(*[F.col(quoted_name(c)) for c in columns], made)
+
+
+def quoted_name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
 
 
 def violations(scanned: DataFrame, *keep: str, scan_col: str = "scan") -> DataFrame:
@@ -193,31 +215,28 @@ def reapply(scanned: DataFrame, action: str, entities: list[str] | None = None,
     """Another action on what was found, without looking again. With entities, only those types are kept; the text of the others
     stays as it was in the original."""
     act.check_action(action, "reapply")
-    s = F.col(scan_col)
     hide_salt(scanned, Policy(salt=salt))
-    chosen = s["violations"] if entities is None else F.filter(s["violations"], lambda v: v["entity_type"].isin(list(entities)))
-    as_spans = F.transform(chosen, lambda v: F.struct(v["entity_type"].alias("entity_type"), v["original"].alias("text"), v["start"].alias("start"), v["end"].alias("end"), v["confidence"].alias("confidence"), F.lit(0).alias("seq")).cast(sp.SPAN))
-    work = scanned.withColumn("_kept", as_spans).withColumn("_violations", every_action(F.col("_kept"), action, salt))
-    result = F.struct(s["original_text"].alias("original_text"), act.sanitised(s["original_text"], F.col("_violations")).alias("sanitized_text"), (F.size("_violations") == 0).alias("is_clean"), s["scan_error"].alias("scan_error"), s["warnings"].alias("warnings"), F.col("_violations").alias("violations")).cast(RESULT)
-    return work.withColumn(scan_col, F.when(s.isNotNull(), result)).drop("_kept", "_violations")
-
-
-def every_action(spans: Column, action: str, salt: str) -> Column:
-    """One action for all types, whatever they are called."""
-    context = act.ActionContext(salt)
-    build = act.native_action(action)
-    return F.transform(
-        spans,
-        lambda s: F.struct(
-            s["entity_type"].alias("entity_type"), s["text"].alias("original"), s["start"].alias("start"), s["end"].alias("end"), F.lit(action).alias("action"),
-            build(s, context).alias("replacement"), s["confidence"].alias("confidence"),
-        ),
-    ).cast(act.VIOLATIONS)
+    p, s = free_prefix(scanned.columns), quoted_name(scan_col)
+    chosen = f"{s}.violations"
+    if entities is not None:
+        chosen = f"filter({chosen}, v -> array_contains(cast(array({', '.join(sp.literal(e) for e in entities)}) AS array<string>), v.entity_type))"
+    as_spans = f"transform({chosen}, v -> {sp.span('v.entity_type', 'v.original', 'v.start', 'v.end', 'v.confidence', 0)})"
+    work = scanned.selectExpr("*", f"{as_spans} AS {p}kept")
+    python = act.every_python_replacement(action, act.ActionContext(salt))
+    if python is not None:
+        work = work.withColumn(f"{p}python", python(F.expr(f"{p}kept.entity_type"), F.expr(f"{p}kept.text")))
+    work = work.withColumn(f"{p}violations", act.every_action(F.col(f"{p}kept"), action, salt, F.col(f"{p}python") if python is not None else None))
+    work = work.selectExpr("*", f"{act.parts_of(f'{s}.original_text', f'{p}violations')} AS {p}parts")
+    result = _result(p, f"{s}.original_text", f"{s}.scan_error", f"{s}.warnings")
+    columns = [F.expr(f"if({s} IS NOT NULL, {result}, NULL)").alias(c) if c.lower() == scan_col.lower() else F.col(quoted_name(c)) for c in scanned.columns]
+    return work.select(*columns)
 
 
 def filter_has_entity(df: DataFrame, entity: str, policy: Policy, text_col: str = "text", scan_col: str = "scan") -> DataFrame:
     """Scans, and keeps rows with a violation of that type; the pattern's literal is pushed down to the table's scan."""
-    literal = {"EMAIL": "@", "JWT": "eyJ"}.get(entity)
-    if literal and not policy.fold:
+    # nothing is folded to @, but look-alikes may be to the letters of others
+    literal = {"EMAIL": "@"}.get(entity) or (None if policy.fold else {"JWT": "eyJ"}.get(entity))
+    only_patterns = not (policy.ner_models or policy.detectors or policy.llm.enabled or policy.custom_patterns or policy.denylist)
+    if literal and only_patterns:
         df = df.filter(F.contains(F.col(text_col), F.lit(literal)))
     return scan(df, policy, text_col, scan_col).filter(F.exists(f"{scan_col}.violations", lambda v: v["entity_type"] == entity))

@@ -312,6 +312,8 @@ def _check_denied(entry: Any) -> None:
         raise PolicyError(f"a denied value must be a text: {entry!r}")
     if "pattern" in entry:
         _compiled(entry["pattern"], "denylist")
+        if backtracks(entry["pattern"]):
+            raise PolicyError(f"denied pattern {entry['pattern']!r} may take exponential time; make it simpler")
 
 
 def _check_custom(name: str, entry: Any) -> None:
@@ -324,7 +326,8 @@ def _check_custom(name: str, entry: Any) -> None:
 
 
 def backtracks(pattern: str, seconds: float = 2.0) -> bool:
-    """Whether a pattern nests unbounded repeats and then also fails to end on a hostile text; it is tried in a process that can be stopped."""
+    """Whether a pattern nests unbounded repeats and then also fails to end on a hostile text: one sign that it names, or one of a usual class, again
+    and again. It is tried in a process that can be stopped. What gets past this still has a limit of time for each text."""
     from re import _parser
 
     def unbounded(items: Any, inside: bool = False) -> bool:
@@ -344,7 +347,8 @@ def backtracks(pattern: str, seconds: float = 2.0) -> bool:
     if not unbounded(_parser.parse(pattern)):
         return False
     try:
-        subprocess.run([sys.executable, "-c", "import re, sys; re.search(sys.argv[1], 'a' * 50 + 'b')", pattern], timeout=seconds, capture_output=True, check=False)
+        tried = "import re, sys; p = re.compile(sys.argv[1]); [p.search(c * 50 + end) for c in dict.fromkeys('a1 A_-.' + sys.argv[1]) for end in ('\\0', 'b', '')]"
+        subprocess.run([sys.executable, "-c", tried, pattern], timeout=seconds, capture_output=True, check=False)
     except subprocess.TimeoutExpired:
         return True
     return False

@@ -63,7 +63,7 @@ def test_bad_policies(given):
 
 
 def test_backtracking():
-    assert backtracks("(a+)+$") and not backtracks(r"EMP-\d+") and not backtracks(r"(?:a\d+)+x")
+    assert backtracks("(a+)+$") and backtracks(r"(\d+)+$") and backtracks("(b+)+$") and not backtracks(r"EMP-\d+") and not backtracks(r"(?:a\d+)+x")
 
 
 def test_chunks():
