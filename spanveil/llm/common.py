@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,10 +24,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder's path under the shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset (tests, a laptop) a temporary folder of this machine is set instead.
+    Only where that is unset and all runs on one machine (tests, a laptop) a temporary folder of it is set instead.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spanveil-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/spanveil-{uuid.uuid4().hex}"
@@ -43,7 +46,7 @@ def write(df: DataFrame, path: str, **options: str) -> None:
         conf.set(CLEANUP, old) if old is not None else conf.unset(CLEANUP)
 
 
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
+def cut(df: DataFrame, name: str = "t", **options: str) -> DataFrame:
     """The rows of df, written to the shared folder and read again.
 
     It cuts the lineage: what follows survives lost executors without recomputation, and several
@@ -51,7 +54,7 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}-{name}"
-    write(df, path)
+    write(df, path, **options)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,6 +67,14 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with so many underscores before it that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def per_batch(fn: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """fn over each Arrow batch, for mapInPandas."""
 

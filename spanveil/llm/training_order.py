@@ -1,26 +1,29 @@
 """Training-order materialisation: every sequence of token ids gets a slot from a keyed permutation, and shards hold slots in order.
 
-Documents become sequences of a fixed number of ids (the last one of a document is filled up with a
-padding id).  A sequence's index is its place by bucket, doc_id and window, dense from 0; its
-slot is a Feistel permutation of the index under the key, walked along its cycle until it falls below the number of sequences.  So the order is
-a pure function of the key and the documents, whatever the partitioning.  Slots are dealt by range, and each range
-writes whole shards: ``per_shard`` sequences of the same stride, so sequence s is at byte (s % per_shard) * stride of
-shard s // per_shard.  Shards are rows of a Parquet table (shard, first_slot, sequences, stride, crc32, data): Spark's commit protocol makes
-their writing safe against lost executors on any file system.  ``read_from`` resumes at any slot;
-``export_shards`` writes plain files.
-
-Defined results: a null or empty text is one sequence holding only the separator; repeated rows are sequences of their own (ties in the
-order are broken by the ids' checksum; equal ones are interchangeable); a null doc_id comes first in its bucket; an empty table gives no shards; other columns are ignored.
+Documents' ids, each document's closed by a separator, run on within a bucket of documents (by a hash of doc_id and ids, in the order of doc_id) and are cut
+into sequences of a fixed number of ids; only the last one of a bucket is filled up with a padding id that no token has.  Buckets
+grow in number and in size as the square root of the texts' bytes: neither their sorting nor the table of their counts becomes a task that more machines don't shorten.
+A sequence's index is its place by bucket and within it, dense from 0; its slot is a Feistel permutation of the index under the key, walked along its
+cycle until it falls below the number of sequences.  So the order is a pure function of the key and the documents, whatever the partitioning.
+
+Slots are dealt by range: each task gets an equal range of whole shards, without a sample, since slots are dense.  A shard holds ``per_shard`` sequences of the same stride, so sequence s
+is at byte (s % per_shard) * stride of shard s // per_shard.  Shards are rows of a Parquet table (shard, first_slot, sequences, stride, crc32, data), stored without
+compression, so that a sequence is read by its offset: Spark's commit protocol makes their writing safe against lost executors on any file system.
+``read_from`` resumes at any slot; ``export_shards`` writes plain files.
+
+Defined results: a null or empty text is only the separator; repeated rows are documents of their own (ties in the order are broken by the ids; equal ones
+are interchangeable); null doc_ids come first in their buckets; a text of any length is cut; an empty table gives no shards; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, discard, per_batch, read_table, texts_of, tokenizer_path, write
@@ -28,12 +31,16 @@ from .words import word_encoder
 
 TOKENIZER = "word_bpe_49k.json"
 LENGTH = 1024
-SEPARATOR, PADDING = 49407, 49407
-#: Sequences in a shard, buckets of the index, and the permutation's rounds and key.
-PER_SHARD, BUCKETS, ROUNDS, KEY = 512, 1024, 6, 0x5EED
+#: The tokenizer's end of text, and an id above its vocabulary.
+SEPARATOR, PADDING = 49407, 65535
+#: Sequences in a shard, and the permutation's rounds and key.
+PER_SHARD, ROUNDS, KEY = 512, 6, 0x5EED
+#: Bytes of texts of a bucket: at least so many, and so many times the root of all texts' bytes.
+LEAST_BUCKET, BY_ROOT = 4 << 20, 8
 #: Bytes of ids that a task holds before it passes them on.
 HELD = 1 << 22
 SHARD = "shard long, first_slot long, sequences int, stride int, crc32 long, data binary"
+SEQUENCE = "bucket int, k long, n_tokens int, crc32 long, ids binary, pieces array<struct<doc_id:long,start:long,length:int,offset:int>>"
 
 
 def _mixed(x: np.ndarray, key: int) -> np.ndarray:
@@ -75,57 +82,98 @@ def filling(length: int, padding: int) -> bytes:
     return np.full(length, padding, dtype="<u2").tobytes()
 
 
-def sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, separator: int = SEPARATOR, padding: int = PADDING) -> DataFrame:
-    """doc_id, window, n_tokens, crc32 and the ids (little-endian, 16 bits) of each sequence. The checksum is that of the filled-up
-    sequence; the ids are filled up only in the shards."""
-    end, filler = np.asarray([separator], dtype="<u2").tobytes(), filling(length, padding)
+def bucket_count(total_bytes: int, least: int = LEAST_BUCKET) -> int:
+    return max(1, math.ceil(total_bytes / max(least, BY_ROOT * math.sqrt(total_bytes))))
+
+
+def tokenised(docs: DataFrame, tokenizer: str, separator: int = SEPARATOR) -> DataFrame:
+    """doc_id and the ids (little-endian, 16 bits) of each row, with the separator."""
+    end = np.asarray([separator], dtype="<u2").tobytes()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = word_encoder(tokenizer).encode
+        for pdf in batches:
+            for at in range(0, len(pdf), 1024):
+                some = pdf.iloc[at : at + 1024]
+                ids = [np.frombuffer(encode(t), dtype="<u4").astype("<u2").tobytes() + end for t in some["text"]]
+                yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64"), "ids": ids})
+
+    return texts_of(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, ids binary")
+
+
+def sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, separator: int = SEPARATOR, padding: int = PADDING, least: int = LEAST_BUCKET) -> DataFrame:
+    """Rows of SEQUENCE: the filled-up ids of each sequence, and which ids of which documents they are."""
+    filler, stride = filling(length, padding), 2 * length
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = bucket_count(size, least)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["doc_id", "window", "n_tokens", "crc32", "ids"]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(rows, columns=["bucket", "k", "n_tokens", "crc32", "ids", "pieces"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, rows, held = word_encoder(tokenizer).encode, [], 0
+        bucket, k, begun, pieces, rows, held = -1, 0, bytearray(), [], [], 0
+
+        def close() -> None:
+            nonlocal k, begun, pieces, held
+            n = len(begun) // 2
+            data = bytes(begun) + filler[len(begun) :]
+            rows.append((bucket, k, n, zlib.crc32(data), data, pieces))
+            k, begun, pieces, held = k + 1, bytearray(), [], held + stride
+
         for pdf in batches:
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                data = np.frombuffer(encode(text), dtype="<u4").astype("<u2").tobytes() + end
-                for k, at in enumerate(range(0, len(data), 2 * length)):
-                    part = data[at : at + 2 * length]
-                    rows.append((doc_id, k, len(part) // 2, zlib.crc32(filler[len(part) :], zlib.crc32(part)), part))
-                held += len(data)
-                if held >= HELD:
-                    yield frame(rows)
-                    rows, held = [], 0
+            for own, doc_id, ids in zip(pdf["bucket"], pdf["doc_id"].astype("Int64"), pdf["ids"], strict=True):
+                if own != bucket:
+                    if begun:
+                        close()
+                    bucket, k = own, 0
+                at = 0
+                while at < len(ids):
+                    n = min(len(ids) - at, stride - len(begun))
+                    pieces.append({"doc_id": None if doc_id is pd.NA else int(doc_id), "start": at // 2, "length": n // 2, "offset": len(begun) // 2})
+                    begun += ids[at : at + n]
+                    at += n
+                    if len(begun) == stride:
+                        close()
+                        if held >= HELD:
+                            yield frame(rows)
+                            rows, held = [], 0
+        if begun:
+            close()
         if rows:
             yield frame(rows)
 
-    return texts_of(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, window int, n_tokens int, crc32 long, ids binary")
+    rows = tokenised(docs, tokenizer, separator).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(buckets)).cast("int"))
+    parts = min(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket", "doc_id", "ids")
+    return dealt.select("bucket", "doc_id", "ids").mapInPandas(run, SEQUENCE)
+
+
+def starts_of_buckets(table: DataFrame) -> np.ndarray:
+    """How many sequences the buckets before each one hold, and at the end all. There are as many numbers as buckets."""
+    counts = table.groupBy("bucket").count().toPandas().sort_values("bucket")
+    out = np.zeros((int(counts["bucket"].max()) if len(counts) else -1) + 2, dtype=np.int64)
+    out[counts["bucket"].to_numpy(dtype=np.int64) + 1] = counts["count"]
+    return np.cumsum(out)
 
 
-def slotted(table: DataFrame, key: int = KEY, buckets: int = BUCKETS) -> DataFrame:
-    """Adds index and slot. Only the counts of the buckets, of which there are so many, go to the driver."""
-    spark = table.sparkSession
-    table = table.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "window"), F.lit(buckets)).cast("int"))
-    counts = np.zeros(buckets, dtype=np.int64)
-    for bucket, n in table.groupBy("_bucket").count().collect():
-        counts[bucket] = n
-    before, total = np.cumsum(counts) - counts, int(counts.sum())
-    shared = spark.sparkContext.broadcast(before)
+def slotted(table: DataFrame, starts: np.ndarray, key: int = KEY) -> DataFrame:
+    """Adds index and slot to rows that have bucket and k, of which they are put in place."""
+    shared = table.sparkSession.sparkContext.broadcast(starts)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        index = shared.value[pdf["_bucket"].to_numpy()] + pdf["_rank"].to_numpy(dtype=np.int64) - 1
-        out = pdf.drop(columns=["_bucket", "_rank"])
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        out["index"], out["slot"] = index, permute(index, total, key)
+        index = shared.value[pdf["bucket"].to_numpy(dtype=np.int64)] + pdf["k"].to_numpy(dtype=np.int64)
+        out = pdf.drop(columns=["bucket", "k"])
+        if "doc_id" in out:
+            out["doc_id"] = out["doc_id"].astype("Int64")
+        out["index"], out["slot"] = index, permute(index, int(shared.value[-1]), key)
         return out
 
-    ranked = table.withColumn("_rank", F.row_number().over(Window.partitionBy("_bucket").orderBy("doc_id", "window", "crc32")))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema if f.name != "_bucket")
-    return ranked.mapInPandas(per_batch(run), f"{kinds}, index long, slot long")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema if f.name not in ("bucket", "k"))
+    return table.mapInPandas(per_batch(run), f"{kinds}, index long, slot long")
 
 
-def shards(table: DataFrame, per_shard: int = PER_SHARD, length: int = LENGTH, padding: int = PADDING) -> DataFrame:
-    """Rows of SHARD from sequences with slots: dealt by ranges of slots, each shard made by one task."""
-    filler = filling(length, padding)
+def shards(table: DataFrame, n_sequences: int, per_shard: int = PER_SHARD) -> DataFrame:
+    """Rows of SHARD from all sequences' slots and ids: dealt by ranges of slots, each shard made by one task."""
 
     def flush(rows: list[tuple[int, bytes]], shard: int) -> pd.DataFrame:
         data = b"".join(d for _, d in rows)
@@ -139,26 +187,25 @@ def shards(table: DataFrame, per_shard: int = PER_SHARD, length: int = LENGTH, p
                     if rows:
                         yield flush(rows, shard)
                     rows, shard = [], int(slot) // per_shard
-                rows.append((int(slot), data + filler[len(data) :]))
+                rows.append((int(slot), data))
         if rows:
             yield flush(rows, shard)
 
-    # slots are dense, so equal ranges of shards need no sample of the data
-    n_shards = max(1, -(-table.count() // per_shard))
+    n_shards = max(1, -(-n_sequences // per_shard))
     parts = min(n_shards, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranges = F.floor(F.floor(F.col("slot") / per_shard) * parts / n_shards)
-    dealt = table.select("slot", "ids").repartition(ranges).sortWithinPartitions("slot")
-    return dealt.select("slot", "ids").mapInPandas(run, SHARD)
+    ranges = F.floor(F.floor(F.col("slot") / per_shard) * parts / n_shards).cast("int")
+    return table.select("slot", "ids").repartitionById(parts, ranges).sortWithinPartitions("slot").mapInPandas(run, SHARD)
 
 
-def materialise(docs: DataFrame, path: str, tokenizer: str | None = None, length: int = LENGTH, key: int = KEY, per_shard: int = PER_SHARD) -> DataFrame:
-    """Writes the shards to path and returns the manifest: a row for each sequence with its place."""
-    table = cut(sequences(docs, tokenizer or tokenizer_path(TOKENIZER), length), "sequences")
-    placed = cut(slotted(table, key), "slots")
+def materialise(docs: DataFrame, path: str, tokenizer: str | None = None, length: int = LENGTH, key: int = KEY, per_shard: int = PER_SHARD, least: int = LEAST_BUCKET) -> DataFrame:
+    """Writes the shards to path and returns the manifest: a row for each piece of a document, with its sequence's place."""
+    table = cut(sequences(docs, tokenizer or tokenizer_path(TOKENIZER), length, least=least), "sequences", compression="zstd")
+    starts = starts_of_buckets(table)
+    write(shards(slotted(table.select("bucket", "k", "ids"), starts, key), int(starts[-1]), per_shard), path, compression="none", **{"parquet.enable.dictionary": "false"})
+    pieces = cut(table.select("bucket", "k", "n_tokens", "crc32", F.inline("pieces")), "pieces")
     discard(table)
-    write(shards(placed, per_shard, length), path, compression="zstd")
-    return placed.select(
-        "doc_id", "window", "n_tokens", "crc32", "index", "slot",
+    return slotted(pieces, starts, key).select(
+        "doc_id", "start", "length", "offset", "n_tokens", "crc32", "index", "slot",
         F.floor(F.col("slot") / per_shard).alias("shard"), (F.col("slot") % per_shard * F.lit(2 * length)).alias("byte_offset"),
     )
 
@@ -192,11 +239,11 @@ def export_shards(shard_table: DataFrame, folder: str) -> int:
 
 
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The manifest, each row with the checksum of its bytes as read back from the shard."""
+    """The manifest, each row with the checksum of its sequence's bytes as read back from the shard."""
     from .common import shared_dir
 
     path = f"{shared_dir(spark)}-shards"
     manifest = materialise(read_table(spark, sf_dir, "documents"), path)
     stored = spark.read.schema(SHARD).parquet(path)
     back = read_from(stored).select("slot", F.crc32("ids").alias("stored_crc32"))
-    return manifest.join(back, "slot").select("doc_id", "window", "n_tokens", "crc32", "stored_crc32", "index", "slot", "shard", "byte_offset")
+    return manifest.join(back, "slot").select("doc_id", "start", "length", "offset", "n_tokens", "crc32", "stored_crc32", "index", "slot", "shard", "byte_offset")

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from spanveil.llm.packing import best_fit, op2_packing, pack
 from spanveil.llm.token_counts import Machine, count_tokens
-from spanveil.llm.training_order import SHARD, export_shards, materialise, permute, read_from, sequences, slotted
+from spanveil.llm.training_order import SHARD, bucket_count, export_shards, materialise, permute, read_from, sequences, slotted, starts_of_buckets
 from spanveil.llm.words import WordEncoder
 
 DATA = Path("/root/testdata")
@@ -136,29 +136,48 @@ def test_permutation_is_one():
 def test_training_order(spark, documents, odd_rows, empty, tmp_path):
     lib, docs = Tokenizer.from_file(WORDS), documents(odd_rows)
     path = str(tmp_path / "shards")
-    manifest = materialise(docs, path, length=64, per_shard=10).collect()
+    manifest = materialise(docs, path, length=64, per_shard=10, least=1 << 10).collect()
     stored = spark.read.schema(SHARD).parquet(path)
-    assert sorted(r.slot for r in manifest) == list(range(len(manifest)))
+    slots = sorted({r.slot for r in manifest})
+    assert slots == list(range(len(slots))) and sorted({r["index"] for r in manifest}) == slots
     back = {r.slot: bytes(r.ids) for r in read_from(stored).collect()}
     assert all(zlib.crc32(back[r.slot]) == r.crc32 for r in manifest)
-    # what is read in the manifest's order is the documents
+    # the pieces of a sequence lie side by side and the rest is padding; those of a document, read in order, are the document
     ids = {i: lib.encode(t or "", add_special_tokens=False).ids + [49407] for i, t in odd_rows}
-    whole = defaultdict(list)
-    for r in sorted(manifest, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.window)):
-        if r.doc_id != 10:
-            whole[r.doc_id] += np.frombuffer(back[r.slot], dtype="<u2")[: r.n_tokens].tolist()
-    assert all(whole[i] == x for i, x in ids.items() if i != 10)
+    whole, filled = defaultdict(list), defaultdict(int)
+    for r in sorted(manifest, key=lambda r: (r.slot, r.offset)):
+        assert r.offset == filled[r.slot]
+        filled[r.slot] += r.length
+    for r in manifest:
+        row = np.frombuffer(back[r.slot], dtype="<u2").tolist()
+        assert filled[r.slot] == r.n_tokens and row[r.n_tokens :] == [65535] * (64 - r.n_tokens) and 65535 not in row[: r.n_tokens]
+    for r in sorted(manifest, key=lambda r: r.start):
+        assert r.doc_id == 10 or len(whole[r.doc_id]) == r.start
+        whole[r.doc_id] += np.frombuffer(back[r.slot], dtype="<u2")[r.offset : r.offset + r.length].tolist()
+    assert all(whole[i] == x for i, x in ids.items() if i != 10) and len(whole[10]) == 2 * len(ids[10])
+    # only the last sequence of a bucket is filled up
+    size = sum(len((t or "").encode()) for _, t in odd_rows)
+    assert sum(n < 64 for n in filled.values()) <= bucket_count(size, 1 << 10) and bucket_count(size, 1 << 10) > 5
     # reading goes on from any slot, and plain files hold the same bytes
-    assert sorted(r.slot for r in read_from(stored, 23).collect()) == list(range(23, len(manifest)))
+    assert sorted(r.slot for r in read_from(stored, 23).collect()) == slots[23:]
     out = tmp_path / "bin"
     out.mkdir()
-    assert export_shards(stored, str(out)) == -(-len(manifest) // 10)
+    assert export_shards(stored, str(out)) == -(-len(slots) // 10)
     r = next(r for r in manifest if r.slot == 13)
     assert (out / f"shard-{r.shard:09d}.bin").read_bytes()[r.byte_offset : r.byte_offset + 128] == back[13]
     assert materialise(empty, str(tmp_path / "none"), length=64).count() == 0
 
 
 def test_order_does_not_depend_on_partitions(documents, odd_rows):
-    order = lambda df: sorted((r.doc_id or -1, r.window, r.slot) for r in slotted(sequences(df, WORDS, 64)).select("doc_id", "window", "slot").collect() if r.doc_id != 10)
+    def order(df):
+        table = sequences(df, WORDS, 64, least=1 << 10)
+        return sorted((r.slot, bytes(r.ids)) for r in slotted(table, starts_of_buckets(table)).collect())
+
     docs = documents(odd_rows)
     assert order(docs.repartition(5)) == order(docs.coalesce(1))
+
+
+def test_buckets_grow_in_number_and_size():
+    sizes = [10**k for k in range(3, 18)]
+    numbers = [bucket_count(n) for n in sizes]
+    assert numbers[0] == 1 and numbers == sorted(numbers) and numbers[-1] < 10**8 and 10**14 / bucket_count(10**14) < 10**8
