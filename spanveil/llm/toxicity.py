@@ -1,14 +1,16 @@
 """Toxicity by a weighted lexicon that Aho-Corasick finds in folded text.
 
-Folding: lower case, look-alike letters of other scripts (capitals by the look of the capital) and full-width forms to Latin ones, and digits
-and signs that stand for letters to those letters; a 1 is read as i and as l, a ! before a letter as i and as itself.  Lexicon entries are beginnings of words or whole words, each with a weight; a match whose
+Folding: compatibility forms as what they stand for, without stray marks and invisible signs; lower case, look-alike letters of other scripts
+(capitals by the look of the capital) and full-width forms to Latin ones, and digits and signs that stand for letters to those letters; a 1 is read as i
+and as l, a ! before a letter as i and as itself.  Lexicon entries are beginnings of words or whole words, each with a weight; a match whose
 surroundings make up an exception phrase doesn't count.  The summed weight, also divided by the length in words, gives the
 score through a logistic function.
 
 The lexicon is learned from labelled rows: entries are the word beginnings that cover the toxic rows and hardly
 occur in clean ones, chosen greedily, each for the rows that the earlier ones leave; weights are log odds, so
 that a beginning that clean words share too counts little and tells by how often it comes.
-At most SAMPLE labelled rows are used, those with the least hash of doc_id; near copies among them count once.
+At most SAMPLE labelled rows are used, those with the least hash of doc_id; near copies among them count once, the one with the least doc_id.
+All choices depend on rows and not on how they are dealt out.
 The scores themselves cover every row and whole texts.
 
 Defined results: null and empty texts score like a text without a match; labels with null are ignored, of
@@ -18,8 +20,10 @@ is kept and not held out; an empty table gives no rows; other columns are ignore
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
@@ -36,6 +40,8 @@ SAMPLE = 20_000
 THRESHOLD = 0.7
 #: Lengths of word beginnings; the share of new toxic rows, and how rare in clean rows, an entry must be.
 SHORTEST, LONGEST, LEAST_ROWS, LEAST_SHARE, CLEAN_RATIO = 4, 8, 3, 0.002, 0.15
+#: Labelled rows that agree in so many of their least three-word hashes are near copies.
+COMPARED = 3
 #: A toxic row asks for entries until their weights come to so much.
 ENOUGH = 6.0
 
@@ -45,10 +51,22 @@ LOOKALIKES |= {0xFF41 + k: 97 + k for k in range(26)}
 CAPITALS = str.maketrans("АВЕКМНОРСТУХІЈЅҺԚԜΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "abekmhopctyxijshqwabezhikmnoptyx")
 CAPITAL = re.compile("[" + "".join(map(chr, CAPITALS)) + "]")
 DOLLAR = re.compile(r"\$(?=\w)")
+BAR = re.compile(r"(?<=\w)\|(?=\w)")
+# Marks that stand on nothing they could be joined with, and signs that can't be seen.
+STRAY = re.compile("[\u0300-\u036f\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 MARK = re.compile(r"!(?=\w)")
 WORD = re.compile(r"\w+")
 
 
+def visible(text: str) -> str:
+    """Compatibility forms as what they stand for, without stray marks and invisible signs."""
+    if text.isascii():
+        return text
+    if not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text)
+    return STRAY.sub("", text)
+
+
 def lower(text: str) -> str:
     return (CAPITAL.sub(lambda m: m.group().translate(CAPITALS), text) if not text.isascii() else text).lower()
 
@@ -57,6 +75,8 @@ def fold(text: str) -> str:
     text = lower(text)
     if "$" in text:
         text = DOLLAR.sub("s", text)
+    if "|" in text:
+        text = BAR.sub("l", text)
     return text.translate(LOOKALIKES)
 
 
@@ -111,15 +131,21 @@ class Lexicon:
 
     @staticmethod
     def around(folded: str, start: int) -> tuple[str, str, str]:
-        """The word before, the word itself and the word after."""
+        """The word before, the word itself and the word after, whole."""
         here = WORD.match(folded, start)
         end = here.end() if here else start + 1  # a ! read as a letter
-        after = WORD.search(folded, end, end + 40)
-        before = WORD.findall(folded[max(0, start - 40) : start])
-        return before[-1] if before else "", here.group() if here else folded[start], after.group() if after else ""
+        after = WORD.search(folded, end)
+        last = start - 1
+        while last >= 0 and not is_letter(folded[last]):
+            last -= 1
+        first = last
+        while first >= 0 and is_letter(folded[first]):
+            first -= 1
+        return folded[first + 1 : last + 1], here.group() if here else folded[start], after.group() if after else ""
 
     def weigh(self, text: str) -> tuple[float, int, int]:
         """The summed weight, the matches that count, and the words."""
+        text = visible(text)
         folded, total, hits = fold(text), 0.0, 0
         for start, _, w in self.matches(folded, text):
             if self.exceptions:
@@ -139,6 +165,10 @@ def shape(total: float, words: int) -> tuple[float, float, float]:
     return 1.0, math.log1p(max(total, 0.0)), math.log1p(100 * max(total, 0.0) / max(words, 1))
 
 
+def is_letter(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
 def beginnings(word: str) -> list[str]:
     return [word[:k] for k in range(SHORTEST, min(LONGEST, len(word)) + 1)] + [word + "$"]
 
@@ -154,14 +184,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> D
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for toxic, text in zip(pdf["toxic"], pdf["text"], strict=True):
-            words = WORD.findall(fold(text))
-            sign = min((zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 2))), default=0)
-            rows.append((toxic, sign, " ".join(sorted(set(words))), text))
-        return pd.DataFrame(rows, columns=["toxic", "sign", "words", "text"])
+        for doc_id, toxic, text in zip(pdf["doc_id"], pdf["toxic"], pdf["text"], strict=True):
+            words = WORD.findall(fold(visible(text)))
+            signs = {zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 2))}
+            rows.append((doc_id, toxic, " ".join(f"{x:08x}" for x in heapq.nsmallest(COMPARED, signs)), " ".join(sorted(set(words))), text))
+        return pd.DataFrame(rows, columns=["doc_id", "toxic", "sign", "words", "text"])
 
-    rows = texts_of(docs).join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInPandas(per_batch(run), "toxic int, sign long, words string, text string")
-    return cut(rows.dropDuplicates(["toxic", "sign"]), "labelled")
+    joined = texts_of(docs).select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    rows = joined.mapInPandas(per_batch(run), "doc_id long, toxic int, sign string, words string, text string")
+    one = rows.groupBy("toxic", "sign").agg(F.min(F.struct("doc_id", "text", "words")).alias("first"))
+    return cut(one.select("toxic", "first.words", "first.text"), "labelled")
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, exceptions: tuple[tuple[str, str], ...] = ()) -> Lexicon:
@@ -170,7 +202,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, exceptions: tu
     n_clean = sample.filter("toxic = 0").count()
     if not toxic:
         return Lexicon({})
-    least = max(LEAST_ROWS, LEAST_SHARE * len(toxic)) if len(toxic) > LEAST_ROWS else 1
+    least = max(1, min(LEAST_ROWS, len(toxic) // 4), LEAST_SHARE * len(toxic))
     counts = {f: n for f, n in Counter(f for s in toxic for f in s).items() if n >= least}
 
     def clean(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -207,6 +239,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, exceptions: tu
     def context(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for label, text in zip(pdf["toxic"], pdf["text"], strict=True):
+            text = visible(text)
             total, hits, words = lexicon.weigh(text)
             pairs: set[tuple[str, str]] = set()
             if hits:
@@ -221,7 +254,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, exceptions: tu
     # phrases that clean rows use and toxic ones don't
     phrases = seen.select("toxic", F.explode("pairs").alias("p")).groupBy("p").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n")).filter("bad = 0 AND n >= 8 AND p[0] != '' AND p[1] != ''")
     learned = frozenset(tuple(r[0]) for r in phrases.select("p").collect())
-    points = seen.select("toxic", "total", "words").toPandas()
+    points = seen.select("toxic", "total", "words").toPandas().sort_values(["toxic", "total", "words"])
     curve = fit(np.asarray([shape(t, w) for t, w in zip(points["total"], points["words"], strict=True)]), points["toxic"].to_numpy(dtype=float))
     return Lexicon(chosen, lexicon.exceptions | learned, curve)
 
