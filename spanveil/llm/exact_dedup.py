@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, read_table, shared_dir
+from .common import cut, free_name, read_table, shared_dir
 
 #: Java's class for [\x20\x09-\x0D]+.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -124,9 +124,10 @@ def distinct_documents(docs: DataFrame, digest: Callable[[Column], Column] = sha
     keys = f"{shared_dir(spark)}-keys"
     keyed(docs, digest).write.parquet(keys)
     state = state_of(as_stream(keys, spark.read.parquet(keys).schema, spark), f"{shared_dir(spark)}-stream")
-    kept = groups(docs, state, digest).filter("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_sha": sha256(normalised("text"))})
-    return rows.join(kept, ["_id", "_sha"]).dropDuplicates(["_id", "_sha"]).select(*docs.columns)
+    own_id, own_sha = free_name(docs, "_id"), free_name(docs, "_sha")
+    kept = groups(docs, state, digest).filter("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(own_id), F.col("text_sha256").alias(own_sha)).distinct()
+    rows = docs.withColumns({own_id: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), own_sha: sha256(normalised("text"))})
+    return rows.join(kept, [own_id, own_sha]).dropDuplicates([own_id, own_sha]).select(*docs.columns)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
+from .common import cut, free_name, read_table
 
 #: Shares of tokens by language that the registered query and the pipeline aim at.
 TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
@@ -190,9 +190,10 @@ def mixing_rates(docs: DataFrame, labelled_ids: DataFrame, targets: dict[str, fl
 
 def mixed(docs: DataFrame, labelled_ids: DataFrame, targets: dict[str, float] = TARGETS, domain: str = "lang") -> DataFrame:
     """Each row of docs as often as its copies say, with all columns of docs."""
-    copies = mixing_rates(docs, labelled_ids, targets, domain).filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    rows = docs.join(cut(copies, "copies"), docs["doc_id"].cast("long").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    own_id, n, copy = (free_name(docs, c) for c in ("_id", "_copies", "_copy"))
+    copies = mixing_rates(docs, labelled_ids, targets, domain).filter("copies > 0").select(F.col("doc_id").alias(own_id), F.col("copies").alias(n))
+    rows = docs.join(cut(copies, "copies"), docs["doc_id"].cast("long").eqNullSafe(F.col(own_id)))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import types as T
 
 #: Extra columns whose names clash with those that the operators use inside.
-DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, h int, digest string, rep int, slot string, bucket int, tag string, score string"
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, h int, digest string, rep int, slot string, bucket int, tag string, score string, _id string, _sha string, _copy int, copies int"
 
 
 @pytest.fixture(scope="session")
@@ -12,7 +12,7 @@ def documents(spark):
     """A maker of tables of documents from (doc_id, text) pairs."""
 
     def make(rows):
-        return spark.createDataFrame([(i, t, "en", "s", None, 1, "x", 2, "y", 3, "z", "w") for i, t in rows], DOCUMENTS)
+        return spark.createDataFrame([(i, t, "en", "s", None, 1, "x", 2, "y", 3, "z", "w", "v", "u", 4, 5) for i, t in rows], DOCUMENTS)
 
     return make
 
