@@ -132,62 +132,90 @@ def test_mixing_is_native(small):
 # quality
 
 
+def grams_of(text, order=quality.ORDER):
+    padded = chr(quality.BEGIN) * (order - 1) + text
+    return [padded[k : k + order] for k in range(len(text))]
+
+
 def brute_model(texts, order):
     """Interpolated modified Kneser-Ney with dictionaries."""
     full = Counter()
     for t in texts:
-        full.update(quality.grams(quality.signs(t), order).tolist())
+        full.update(grams_of(t, order))
     levels = [full]
-    for k in range(order, 1, -1):
-        lower = Counter()
-        for g in levels[-1]:
-            lower[g % quality.SYMBOLS ** (k - 1)] += 1
-        levels.append(lower)
-    out = {0: lambda g: 1 / quality.SYMBOLS}
+    for _ in range(order, 1, -1):
+        levels.append(Counter(g[1:] for g in levels[-1]))
+    out = {0: lambda g: 1 / (len(levels[-1]) + 1)}
     for k, counts in enumerate(levels[::-1], 1):
         n = [sum(c == i for c in counts.values()) for i in range(1, 5)]
         y = n[0] / (n[0] + 2 * n[1]) if n[0] + 2 * n[1] else 0.5
         d = [min(max(i - (i + 1) * y * b / a, 0), i - 0.01) if a else 0.5 for i, a, b in ((1, n[0], n[1]), (2, n[1], n[2]), (3, n[2], n[3]))]
         total, taken = Counter(), defaultdict(float)
         for g, c in counts.items():
-            total[g // quality.SYMBOLS] += c
-            taken[g // quality.SYMBOLS] += d[min(c, 3) - 1]
+            total[g[:-1]] += c
+            taken[g[:-1]] += d[min(c, 3) - 1]
 
         def p(g, k=k, counts=counts, d=d, total=total, taken=taken):
-            context, below = g // quality.SYMBOLS, out[k - 1](g % quality.SYMBOLS ** (k - 1))
-            if not total[context]:
+            below = out[k - 1](g[1:])
+            if not total[g[:-1]]:
                 return below
             c = counts.get(g, 0)
-            return (c - d[min(c, 3) - 1] if c else 0) / total[context] + taken[context] / total[context] * below
+            return (c - d[min(c, 3) - 1] if c else 0) / total[g[:-1]] + taken[g[:-1]] / total[g[:-1]] * below
 
         out[k] = p
     return out[order]
 
 
-def test_perplexities_against_dictionaries(spark, documents):
+def test_perplexities_against_dictionaries(documents, monkeypatch):
+    # several blocks, and texts longer than what is looked at together
+    monkeypatch.setattr(quality, "block_count", lambda size: 5)
     rng = random.Random(9)
-    texts = ["".join(rng.choice("abc ,.Dé9漢🔒\n") for _ in range(rng.randint(1, 200))) for _ in range(30)]
+    texts = ["".join(rng.choice("abc ,.Dé9漢🔒\n") for _ in range(rng.randint(1, 200))) for _ in range(60)]
     docs = documents(list(enumerate(texts)))
-    good = docs.filter("doc_id < 15").select("doc_id")
-    got = {r.doc_id: r.perplexity for r in quality.quality(docs, good).collect()}
-    p = brute_model(texts[:15], quality.ORDER)
+    got = {r.doc_id: r.perplexity for r in quality.quality(docs, docs.filter("doc_id < 30").select("doc_id")).collect()}
+    learned = [t for i, t in enumerate(texts[:30]) if not quality.held_out(i)]
+    assert 0 < len(learned) < 30
+    p = brute_model(learned, quality.ORDER)
     for i, t in enumerate(texts):
-        g = quality.grams(quality.signs(t), quality.ORDER).tolist()
-        assert math.isclose(got[i], math.exp(-sum(math.log(p(x)) for x in g) / len(g)), rel_tol=1e-3)
+        assert math.isclose(got[i], math.exp(-sum(math.log(p(g)) for g in grams_of(t)) / len(t)), rel_tol=1e-5)
+
+
+def test_pieces_of_long_texts(monkeypatch):
+    texts = ["abcdefghijk", "", "xy", "0123456789" * 3]
+    whole = quality.distinct_grams(texts, [True, True, False, True])
+    monkeypatch.setattr(quality, "PIECE", 4)
+    parts = quality.distinct_grams(texts, [True, True, False, True])
+    assert whole.equals(parts) and dict(zip(parts["gram"], parts["n"], strict=True)) == Counter(g for t in (texts[0], texts[3]) for g in grams_of(t)) | {g: 0 for g in grams_of("xy")}
+    scores = np.arange(len(parts), dtype=np.float32)
+    place = dict(zip(parts["gram"], parts["j"], strict=True))
+    assert quality.sums_of(texts, scores).tolist() == [sum(place[g] for g in grams_of(t)) for t in texts]
+
+
+def test_probabilities_add_up(spark):
+    texts = ["some text to learn from, twice over.", "and Another one 123"]
+    counts = Counter(g for t in texts for g in grams_of(t))
+    signs = sorted({c for t in texts for c in t})
+    contexts = sorted({g[:-1] for g in counts})
+    asked = {c + x for c in contexts for x in [*signs, "?"]}
+    rows = spark.createDataFrame([(g, counts.get(g, 0)) for g in asked | set(counts)], "gram string, n long")
+    sums = defaultdict(float)
+    for r in quality.probabilities(rows).collect():
+        sums[r.gram[:-1]] += r.p
+    assert all(math.isclose(sums[c], 1, abs_tol=1e-9) for c in contexts)
 
 
-def test_probabilities_add_up(spark, documents):
-    docs = documents([(1, "some text to learn from, twice over."), (2, "and Another one 123")])
-    tables = [(lambda t: (t["gram"].to_numpy(), t["p"].to_numpy(), t["left"].to_numpy()))(t.orderBy("gram").toPandas()) for t in quality.model_tables(quality.gram_counts(docs))]
-    dense = np.exp(quality.log_probabilities(tables)).reshape(-1, quality.SYMBOLS)
-    assert np.allclose(dense.sum(axis=1), 1, atol=1e-3)
+def test_the_model_grows_with_the_texts():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(2000)) for _ in range(40)]
+    few, many = (len(quality.distinct_grams(texts[:n], [True] * n)) for n in (4, 40))
+    assert many > 8 * few
 
 
 def test_good_documents_are_kept(small):
     docs, labels = small
     rows = quality.quality(docs, labels.filter("quality = 1")).join(labels, "doc_id").collect()
     good, bad = [r.kept for r in rows if r.quality], [r.kept for r in rows if not r.quality]
-    assert np.mean(good) > 0.99 and np.mean(bad) < 0.2
+    assert np.mean(good) > 0.99 and np.mean(bad) < 0.1
 
 
 def test_junk_is_told_from_good(spark):
