@@ -6,12 +6,15 @@ A byte goes if a string of LENGTH bytes covers it that also starts in a document
 2. Every string of LENGTH bytes has an anchor, its K bytes of least hash.  Anchors that a single document has can't be in a repeated
    string.  Anchors that several documents of one batch share are known to be repeated without a shuffle, so that a line that a third of all
    documents hold is one row a batch there.
-3. The strings of a repeated anchor make up a segment: up to LENGTH - K + 1 starts and the bytes they reach.  Where all segments of an anchor are
-   equal, the least doc_id settles it.
+3. The strings of a repeated anchor make up a segment: the starts in a row whose anchor has that hash (LENGTH - K + 1 at most, unless the anchor repeats itself, as in a
+   line of dashes) and the bytes they reach.  Where all segments of an anchor are equal, the least doc_id settles it.
 4. Otherwise their suffixes are needed in order.  Segments are dealt to shards, each shard's transform is built, and the transforms are merged: the
    interleave (which shard each suffix of the merged order comes from) is refined by STEP characters a round, as a stable sort of what the transforms hold,
    until LENGTH characters are in order.  Neighbours stay in one block as long as their common prefix lasts; blocks after the last round are the repeated
    intervals, and each one's least doc_id holds for all its suffixes.  No suffix is sorted again.
+   The segments of an anchor that has more than MERGED bytes of them are cut up first: into the starts that lie NEAR each other before the anchor, dealt by the bytes that these
+   have in common.  Only strings that agree in all but NEAR - 1 bytes then meet, so a line that a third of all documents hold, each with other
+   text around it, isn't one task's work.
 
 Defined results: null and empty texts, and those under LENGTH bytes, keep all bytes; rows of equal doc_id never remove
 from each other; a null doc_id removes nothing and loses nothing; an empty table gives no rows; other columns are ignored.
@@ -35,6 +38,8 @@ LENGTH, K = 50, 20
 SHARD, SHARDS = 1 << 14, 4
 #: Characters by which a round refines the interleave.
 STEP = 2
+#: Bytes of an anchor's segments that are merged as they are, and places before the anchor that others are cut up by.
+MERGED, NEAR = SHARD * SHARDS, 4
 
 
 @lru_cache(maxsize=64)
@@ -263,9 +268,37 @@ def segments(texts: DataFrame, repeated: DataFrame) -> DataFrame:
     return texts.join(chosen, "doc_id").mapInPandas(per_batch(run), "h long, doc_id long, tag long, start long, content long, bytes binary")
 
 
-def least_documents(parts: DataFrame) -> DataFrame:
-    """h, content, least: for each start of every distinct segment of anchors with unequal segments, the least doc_id that holds the string there."""
-    distinct = parts.groupBy("h", "content", "bytes").agg(F.min("doc_id").alias("doc_id"))
+def near_starts(h: int, data: bytes, length: int = LENGTH, k: int = K, near: int = NEAR) -> list[tuple[int, int, int, bytes]]:
+    """A segment's starts by how far before the anchor they are: (first, past the last, place, the bytes that all their strings have in common)."""
+    places = np.flatnonzero(window_hashes(np.frombuffer(data, dtype=np.uint8), k) == h)
+    starts = np.arange(len(data) - length + 1)
+    anchor = places[np.searchsorted(places, starts)]
+    place = (anchor - starts) // near
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(anchor) != 0) | (np.diff(place) != 0)]))
+    out = []
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(starts)], strict=True):
+        before = int(place[a]) * near
+        out.append((a, b, int(place[a]), data[anchor[a] - before : anchor[a] - before + length - near + 1]))
+    return out
+
+
+def cut_up(large: DataFrame) -> DataFrame:
+    """h, content, first, key, part (a hash of the bytes), bytes and doc_id of the pieces of the segments of anchors that have many."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for h, content, data, doc_id in zip(pdf["h"], pdf["content"], pdf["bytes"], pdf["doc_id"], strict=True):
+            for a, b, place, core in near_starts(h, data):
+                part = data[a : b + LENGTH - 1]
+                key = hashlib.blake2b(h.to_bytes(8, "big", signed=True) + bytes([place]) + core, digest_size=8).digest()
+                rows.append((h, content, a, int.from_bytes(key, "big", signed=True), int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "big", signed=True), part, doc_id))
+        return pd.DataFrame(rows, columns=["h", "content", "first", "key", "part", "bytes", "doc_id"])
+
+    return large.select("h", "content", "bytes", "doc_id").mapInPandas(per_batch(run), "h long, content long, first int, key long, part long, bytes binary, doc_id long")
+
+
+def merged(distinct: DataFrame) -> DataFrame:
+    """h, content, least of distinct segments (h, content, bytes, doc_id), by merging the transforms of anchors that lie in one task."""
 
     def flush(rows: list[tuple]) -> pd.DataFrame:
         found = least_by_interval([r[2] for r in rows], np.asarray([r[3] for r in rows], dtype=np.int64))
@@ -275,7 +308,7 @@ def least_documents(parts: DataFrame) -> DataFrame:
         rows, size = [], 0
         for pdf in batches:
             for r in pdf.itertuples(index=False, name=None):
-                if rows and size > SHARD * SHARDS and rows[-1][0] != r[0]:
+                if rows and size > MERGED and rows[-1][0] != r[0]:
                     yield flush(rows)
                     rows, size = [], 0
                 rows.append(r)
@@ -286,6 +319,35 @@ def least_documents(parts: DataFrame) -> DataFrame:
     return distinct.repartition("h").sortWithinPartitions("h").select("h", "content", "bytes", "doc_id").mapInPandas(run, "h long, content long, least array<long>")
 
 
+def least_documents(parts: DataFrame, most: int | None = None) -> DataFrame:
+    """h, content, least: for each start of every distinct segment of anchors with unequal segments, the least doc_id that holds the string there."""
+    each = parts.groupBy("h", "content").agg(F.max(F.octet_length("bytes")).alias("n"))
+    large = cut(each.groupBy("h").agg(F.sum("n").alias("size")).filter(F.col("size") > (most or MERGED)).select("h"), "large")
+    distinct = parts.groupBy("h", "content", "bytes").agg(F.min("doc_id").alias("doc_id"))
+    plain = merged(distinct.join(large, "h", "left_anti"))
+    pieces = cut(cut_up(distinct.join(large, "h")), "pieces")
+    one = pieces.groupBy(F.col("key").alias("h"), F.col("part").alias("content"), "bytes").agg(F.min("doc_id").alias("doc_id"))
+    found = merged(one).select(F.col("h").alias("key"), F.col("content").alias("part"), "least")
+    back = pieces.select("h", "content", "first", "key", "part").join(found, ["key", "part"]).groupBy("h", "content").agg(F.array_sort(F.collect_list(F.struct("first", "least"))).alias("pieces"))
+    return plain.union(back.select("h", "content", F.flatten(F.transform("pieces", lambda p: p["least"])).alias("least")))
+
+
+def runs_removed(gone: DataFrame) -> DataFrame:
+    """doc_id, tag, a and b of the runs of bytes that rows (doc_id, tag, start, least) remove."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sizes = [len(x) for x in pdf["least"]]
+        row = np.repeat(np.arange(len(pdf)), sizes)
+        offset = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at = np.flatnonzero(np.concatenate(list(pdf["least"])) < pdf["doc_id"].to_numpy()[row])
+        row, begin = row[at], (pdf["start"].to_numpy()[row] + offset)[at]
+        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (begin[1:] != begin[:-1] + 1)])) if len(at) else at
+        last = np.append(first[1:], len(at)) - 1 if len(at) else at
+        return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[row[first]], "tag": pdf["tag"].to_numpy()[row[first]], "a": begin[first], "b": begin[last] + LENGTH})
+
+    return gone.select("doc_id", "tag", "start", "least").mapInPandas(per_batch(run), "doc_id long, tag long, a long, b long")
+
+
 def removed_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text, whole (a copy of a document with smaller doc_id), and begins and ends of the spans, which may overlap, of each row."""
     rows = texts_of(docs).select(F.col("doc_id").cast("long"), "text").withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
@@ -304,8 +366,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     spans = alike.select("doc_id", "tag", F.col("start").alias("a"), (F.col("start") + F.col("n") + LENGTH - 1).alias("b"))
     mixed = cut(parts.join(kinds.filter("NOT alike").select("h"), "h"), "mixed")
     least = cut(least_documents(mixed), "least")
-    gone = mixed.select("h", "content", "doc_id", "tag", "start").join(least, ["h", "content"]).select("doc_id", "tag", "start", F.filter(F.sequence(F.lit(0), F.size("least") - 1), lambda i: F.col("least")[i] < F.col("doc_id")).alias("at"))
-    more = gone.filter(F.size("at") > 0).select("doc_id", "tag", F.explode("at").alias("i"), "start").select("doc_id", "tag", (F.col("start") + F.col("i")).alias("a"), (F.col("start") + F.col("i") + LENGTH).alias("b"))
+    more = runs_removed(mixed.select("h", "content", "doc_id", "tag", "start").join(least, ["h", "content"]))
     discard(repeated)
     listed = cut(spans.unionByName(more).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("a", "b")).alias("raw")), "spans")
     for t in (parts, mixed, least, kinds):

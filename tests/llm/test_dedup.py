@@ -222,6 +222,19 @@ def test_removed_strings_with_few_letters(documents):
     compare_removed(documents(rows), rows)
 
 
+@pytest.mark.parametrize("most", [None, 100])
+def test_removed_strings_around_common_lines(documents, monkeypatch, most):
+    """A line that all texts hold, each with other text around it, lines of dashes, and few letters; with all anchors cut up, and with none."""
+    if most:
+        monkeypatch.setattr(suffix_dedup, "MERGED", most)
+    rng = random.Random(8)
+    line = "This line is in every one of the texts, whatever else they hold, é and all."
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 5)))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(0, 12))) + line + rng.choice(["", "-" * rng.randint(40, 130)]) + " ".join(word() for _ in range(rng.randint(0, 12)))) for i in range(60)]
+    rows += [(60 + i, rng.choice(["ab", "abc", "-"]) * rng.randint(10, 60)) for i in range(12)]
+    compare_removed(documents(rows), rows)
+
+
 def test_merged_transforms():
     rng = random.Random(1)
     old = suffix_dedup.SHARD
