@@ -405,3 +405,44 @@ def test_pipeline_of_odd_rows(spark, documents, odd_rows, empty):
 
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
+
+
+def test_toxicity_does_not_depend_on_partitions(small):
+    docs, labels = small
+    one, seven, many = (toxicity.learn(docs.repartition(n) if n > 1 else docs.coalesce(1), labels) for n in (1, 7, 61))
+    assert one == seven == many and one.weights
+
+
+def plain_matches(lexicon, text):
+    """The longest entry at each beginning of a word, by comparing every entry with every place."""
+    folded, found = toxicity.fold(toxicity.visible(text)), []
+    for k in range(len(folded)):
+        if k and toxicity.is_letter(folded[k - 1]):
+            continue
+        fits = [w for w in lexicon.weights if folded.startswith(w.rstrip("$"), k)]
+        fits = [w for w in fits if w[-1] != "$" or not folded[k + len(w) - 1 : k + len(w)].isalnum()]
+        if fits:
+            found.append((k, max(len(w.rstrip("$")) for w in fits)))
+    return found
+
+
+def test_matches_against_plain_search():
+    rng = random.Random(4)
+    for _ in range(300):
+        entries = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) + rng.choice(["", "$"]): 1.0 for _ in range(5)}
+        lexicon = toxicity.Lexicon(entries)
+        text = "".join(rng.choice("abcABC \u0430 \u0441.\u0301\u200b_4") for _ in range(40))
+        shown = toxicity.visible(text)
+        assert [(s, e - s) for s, e, _ in lexicon.matches(toxicity.fold(shown), shown)] == plain_matches(lexicon, text)
+
+
+def test_words_around_a_match_are_whole():
+    long = "x" * 100
+    folded = f"{long} bad {long}"
+    assert toxicity.Lexicon.around(folded, 101) == (long, "bad", long)
+    assert toxicity.Lexicon.around("bad", 0) == ("", "bad", "")
+
+
+def test_disguised_words_are_folded():
+    for text in ("tra\u0301sh".replace("\u0301", "\u0336"), "tr\u200bash", "\uff54rash", "\U0001d42d\U0001d42b\U0001d41a\U0001d42c\U0001d421", "7rash", "tr@sh", "\u0422rash"):
+        assert toxicity.fold(toxicity.visible(text)).startswith("trash") or "trash" in toxicity.fold(toxicity.visible(text)), text
