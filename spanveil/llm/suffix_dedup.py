@@ -38,8 +38,9 @@ LENGTH, K = 50, 20
 SHARD, SHARDS = 1 << 14, 4
 #: Characters by which a round refines the interleave.
 STEP = 2
-#: Bytes of an anchor's segments that are merged as they are, and places before the anchor that others are cut up by.
-MERGED, NEAR = SHARD * SHARDS, 4
+#: Bytes of an anchor's unlike segments up to which one task merges them as they are (it needs some 60 bytes of memory for each), and the places before the
+#: anchor that the segments of others are cut up by.
+MERGED, NEAR = 4 << 20, 4
 
 
 @lru_cache(maxsize=64)
@@ -308,7 +309,7 @@ def merged(distinct: DataFrame) -> DataFrame:
         rows, size = [], 0
         for pdf in batches:
             for r in pdf.itertuples(index=False, name=None):
-                if rows and size > MERGED and rows[-1][0] != r[0]:
+                if rows and size > SHARD * SHARDS and rows[-1][0] != r[0]:
                     yield flush(rows)
                     rows, size = [], 0
                 rows.append(r)
