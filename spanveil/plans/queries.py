@@ -8,10 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.actions import register_action, register_python_action
 from ..functions.fixed import DEFAULT_POLICY_ENTITIES, PATTERNS
 from ..functions.text import chunk_by_paragraph
 from ..operators.analytics import by_type, density, evaluate, gaps
-from ..operators.layers import register_ner_model
+from ..operators.layers import register_detector, register_ner_model
 from ..operators.scan import reapply, redacted, scan, violations
 from ..operators.sensitivity import is_sensitive
 from ..sources.backends import use_backend
@@ -183,6 +184,42 @@ def overlap_length(spark: SparkSession, d: str) -> DataFrame:
     return found(text, only("US_ZIP_CODE", "POSTAL_CODE"), K)
 
 
+def iban_run(spark: SparkSession, d: str) -> DataFrame:
+    """A run without separators that splits exactly into valid numbers; one with a letter too many has none."""
+    run = f"concat('TR330006100519786457841326', 'DE89370400440532013000', case when {K} % 2 = 1 then 'X' else '' end)"
+    return found(table(spark, d, "customer").select(K, F.expr(f"concat('pay ', {run})").alias("text")), only("IBAN"), K)
+
+
+def tie_order(spark: SparkSession, d: str) -> DataFrame:
+    """Of equally sure, long and early spans the layer that comes first stays: patterns, then own patterns in their order."""
+    text = table(spark, d, "customer").select(K, F.expr(f"concat('10.0.0.', cast({K} % 200 as string), ' id-', cast({K} as string))").alias("text"))
+    policy = only("IP_ADDRESS").with_custom_pattern("NUMBERS", r"\d+\.\d+\.\d+\.\d+").with_custom_pattern("FIRST", r"id-\d+").with_custom_pattern("SECOND", r"id-\d+")
+    return found(text, policy, K)
+
+
+def own_action(spark: SparkSession, d: str) -> DataFrame:
+    """Actions of one's own, as an expression and in Python."""
+    register_action("upper", lambda s, c: F.upper(s["text"]))
+    register_python_action("reversed", lambda kind, text, c: text[::-1])
+    text = table(spark, d, "customer").select(K, F.expr(f"concat('mail user', cast({K} as string), '@mail.example.com ssn 123-45-6789')").alias("text"))
+    policy = only("EMAIL", action="upper").with_entity("SSN", "reversed", ["regex"])
+    return scan(text, policy).select(K, "scan.sanitized_text")
+
+
+def failing_layer(spark: SparkSession, d: str) -> DataFrame:
+    """A detector that fails on every third row gives a warning there; the other layers' findings stay."""
+    register_detector("fails-on-thirds", _fails_on_thirds)
+    text = table(spark, d, "customer").select(K, F.expr(f"concat(cast({K} % 3 as string), ' a@b.com')").alias("text"))
+    s = scan(text, only("EMAIL").with_detector("fails-on-thirds"))
+    return s.select(K, F.size("scan.violations").alias("violations"), F.concat_ws("|", "scan.warnings").alias("warnings"))
+
+
+def _fails_on_thirds(text: str) -> list[tuple[str, int, int, float]]:
+    if text.startswith("0"):
+        raise ValueError("a multiple of three")
+    return [("REST", 0, 1, 0.9)]
+
+
 def propagation(spark: SparkSession, d: str) -> DataFrame:
     """A model names a person once; every other mention that no letter touches is found too."""
     use_backend("ollama", lambda: DryRunBackend())
@@ -298,6 +335,7 @@ def queries() -> dict[str, Query]:
         "denylist_value": denylist_value, "denylist_pattern": denylist_pattern, "custom_pattern": custom_pattern, "overlap_resolution": overlap_resolution,
         "overlap_length": overlap_length, "propagation": propagation, "ner_filters": ner_filters, "confusable_fold": confusable_fold, "size_guard": size_guard,
         "pr_eval": pr_eval, "llm_stub": llm_stub, "llm_adjudication": llm_adjudication, "sensitivity_stub": sensitivity_stub, "chunks": chunks,
+        "iban_run": iban_run, "tie_order": tie_order, "own_action": own_action, "failing_layer": failing_layer,
         "json_leaf_scan": json_leaf_scan, "guard_requests_block": guard_requests_block, "policy_entities": policy_entities,
     }
     found_ |= {f"pii_{n}_planted": _planted_query(p) for n, p in PLANTED.items()}
@@ -392,6 +430,16 @@ SELECT {K}, 'CUSTOMER_NO' AS entity_type, regexp_extract(c_name, '#([0-9]+)', 1)
 SELECT {K}, 'CUSTOM' AS entity_type, '@mail.example' AS original, cast(instr({email.text}, '@') - 1 AS int) AS start, cast(instr({email.text}, '@') + 12 AS int) AS "end" FROM customer""",
         "overlap_length": f"""
 SELECT {K}, 'US_ZIP_CODE' AS entity_type, concat('zip code: ', lpad(cast({K} % 80000 + 1000 as string), 5, '0')) AS original, 0 AS start, 15 AS "end" FROM customer""",
+        "iban_run": f"""
+SELECT {K}, 'IBAN' AS entity_type, 'TR330006100519786457841326' AS original, 4 AS start, 30 AS "end" FROM customer WHERE {K} % 2 = 0
+UNION ALL SELECT {K}, 'IBAN', 'DE89370400440532013000', 30, 52 FROM customer WHERE {K} % 2 = 0""",
+        "tie_order": f"""
+WITH t AS (SELECT {K}, concat('10.0.0.', cast({K} % 200 AS string)) AS ip, concat('id-', cast({K} AS string)) AS id FROM customer)
+SELECT {K}, 'IP_ADDRESS' AS entity_type, ip AS original, 0 AS start, cast(length(ip) AS int) AS "end" FROM t
+UNION ALL SELECT {K}, 'FIRST', id, cast(length(ip) + 1 AS int), cast(length(ip) + 1 + length(id) AS int) FROM t""",
+        "own_action": f"""SELECT {K}, concat('mail ', upper(concat('user', cast({K} AS string), '@mail.example.com')), ' ssn 9876-54-321') AS sanitized_text FROM customer""",
+        "failing_layer": f"""
+SELECT {K}, CASE WHEN {K} % 3 = 0 THEN 1 ELSE 2 END AS violations, CASE WHEN {K} % 3 = 0 THEN 'fails-on-thirds did not run: a multiple of three' ELSE '' END AS warnings FROM customer""",
         "propagation": f"""
 SELECT {K}, 'PERSON' AS entity_type, 'Zoe Quill' AS original, start, start + 9 AS "end" FROM customer, (VALUES (cast(0 AS int)), (cast(37 AS int))) v(start)""",
         "ner_filters": f"""SELECT {K}, 'PERSON' AS entity_type, 'Zoe Quill' AS original, 0 AS start, 9 AS "end" FROM customer WHERE {K} % 4 = 1""",
