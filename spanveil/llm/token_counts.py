@@ -4,13 +4,14 @@ In a byte-pair encoding the last token of a text's every prefix is determined: i
 piece that ends there and forms a valid pair with the last token before it.  What can still
 change later depends only on the suffixes of the prefix that begin some longer piece.  So the machine's state is
 the list of those suffixes, each with the token before it and with the count of tokens up to it
-relative to the whole; a transition reads a character and emits the change of the count.  States and
-transitions are compiled when first reached and kept within a bound.
+relative to the whole; a transition reads a character and emits the change of the count.  The states and
+transitions inside every piece of the vocabulary are compiled before the first text.  Those between pieces have no bound but the texts, so
+they are compiled when first reached; beyond a bound of states all is compiled anew.
 
-Texts are read in chunks.  No piece goes on over the edge before a run of word marks, so from such an edge
+Texts of every length are read in chunks.  No piece goes on over the edge before a run of word marks, so from such an edge
 on every start state leads to the same one: a chunk's map is its unsynchronised head, the count of what
 follows and its end state.  Maps compose associatively, and are composed in a balanced scan.  The
-maps of single words are remembered.
+maps of single words, which stand between edges and so are plain counts, are remembered.
 
 Defined results: null and empty texts have 0 tokens; repeated rows are counted each on its own; a null doc_id is kept; an empty
 table gives no rows.  A text of any length is held once; the machine reads it chunk by chunk.
@@ -50,14 +51,18 @@ class Machine:
         self.begins = {t[:k] for t in self.ids for k in range(1, len(t))}
         self.texts = {i: t for t, i in self.ids.items()}
         self.words: dict[str, int] = {}
-        self._forget()
+        self._compile()
 
-    def _forget(self) -> None:
-        """The start state is 0: nothing before it can merge with what follows."""
+    def _compile(self) -> None:
+        """The machine of the vocabulary's pieces, of at most half the states kept. The start state is 0: nothing before it can merge with what follows."""
         self.states: list[tuple] = [(("", -1, 0),)]
         self.numbers = {self.states[0]: 0}
         self.moves: list[dict[str, tuple[int, int]]] = [{}]
         self.pairs: dict[tuple[int, int], bool] = {}
+        for text in self.ids:
+            if 2 * len(self.states) > self.keep:
+                break
+            self.run(text)
 
     def _pair(self, a: int, b: int) -> bool:
         """Whether a and b stay apart when they stand side by side."""
@@ -107,7 +112,7 @@ class Machine:
         n = self.words.get(text)
         if n is None:
             if len(self.states) > self.keep or len(self.pairs) > 4 * self.keep:
-                self._forget()
+                self._compile()
             n = self.run(text)[1]
             if len(self.words) > self.keep:
                 self.words.clear()
@@ -184,8 +189,6 @@ class Machine:
         if not text:
             return 0
         text = MARK + text.replace(" ", MARK)
-        if len(text) <= chunk:
-            return self._between(text)
         maps = [self.chunk(text[i : i + chunk]) for i in range(0, len(text), chunk)]
         while len(maps) > 1:
             maps = [self.join(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]

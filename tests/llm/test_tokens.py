@@ -41,6 +41,18 @@ def test_machine_counts_as_the_library_whatever_the_chunks():
         assert own.count(t) == n and own.count(t, 7) == n and own.count(t, 1) == n, t
 
 
+def test_the_vocabulary_is_compiled_ahead():
+    own = Machine(PIECES)
+    ahead = len(own.states)
+    assert 30_000 < ahead <= own.keep
+    assert all(own.run(t)[1] == 1 for t in own.ids) and len(own.states) == ahead
+    # a machine that must forget counts as one that needn't
+    tight = Machine(PIECES, keep=500)
+    assert len(tight.states) < 500
+    text = " ".join(odd_texts(50))
+    assert tight.count(text) == own.count(text) == len(sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(text))
+
+
 def test_token_counts(spark, documents, odd_rows, empty):
     lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     got = count_tokens(documents(odd_rows), limit=50).collect()
