@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanveil.llm import near_dedup, suffix_dedup
+from spanveil.llm import exact_dedup, near_dedup, suffix_dedup
 from spanveil.llm.common import shared_dir
 from spanveil.llm.components import components
 from spanveil.llm.exact_dedup import as_stream, distinct_documents, groups, keyed, op8_exact_dedup, state_of
@@ -68,6 +68,24 @@ def test_hits_are_not_trusted(spark, documents):
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == sorted(brute_groups(rows))
 
 
+def test_locators_say_where_the_first_is(spark, documents, monkeypatch):
+    """Also where the table's rows share a doc_id, and where a group is compared in many parts."""
+    monkeypatch.setattr(exact_dedup, "PART", 3)
+    rows = [(i // 2, f"text {i % 5}") for i in range(60)] + [(7, None), (7, "")]
+    path = f"{shared_dir(spark)}-in"
+    documents(rows).repartition(4).write.parquet(path)
+    docs = spark.read.parquet(path)
+    found = state_of(as_stream(path, docs.schema, spark), f"{shared_dir(spark)}-state")
+    at = docs.select("text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    texts = found.join(at, (F.col("locator.file") == at["file"]) & (F.col("locator.row") == at["row"])).collect()
+    assert {hashlib.sha256(norm(r.text).encode()).hexdigest() for r in texts} == {r.digest for r in texts} and len(texts) == 6
+    for state_table in (found, found.withColumn("locator", F.struct(F.lit("nowhere").alias("file"), F.lit(0).cast("long").alias("row")))):
+        got = groups(docs, state_table).collect()
+        assert sorted((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == sorted(brute_groups(rows))
+        assert sum(r.first for r in got) == 6
+    assert distinct_documents(docs).count() == 6
+
+
 def test_the_stream_goes_on_from_its_state(spark, documents):
     path, at = f"{shared_dir(spark)}-grow", f"{shared_dir(spark)}-state"
     first, more = documents([(5, "a"), (6, "b")]), documents([(1, "a "), (2, "a"), (7, "c")])
