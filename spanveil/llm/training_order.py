@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -157,12 +158,15 @@ def starts_of_buckets(table: DataFrame) -> np.ndarray:
 
 
 def slotted(table: DataFrame, starts: np.ndarray, key: int = KEY) -> DataFrame:
-    """Adds index and slot to rows that have bucket and k, of which they are put in place."""
+    """Adds index and slot to rows that have bucket and k, of which they are put in place; ids are compressed, since a shuffle follows."""
     shared = table.sparkSession.sparkContext.broadcast(starts)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         index = shared.value[pdf["bucket"].to_numpy(dtype=np.int64)] + pdf["k"].to_numpy(dtype=np.int64)
         out = pdf.drop(columns=["bucket", "k"])
+        if "ids" in out:
+            compress = zstandard.ZstdCompressor().compress
+            out["ids"] = [compress(x) for x in out["ids"]]
         if "doc_id" in out:
             out["doc_id"] = out["doc_id"].astype("Int64")
         out["index"], out["slot"] = index, permute(index, int(shared.value[-1]), key)
@@ -173,7 +177,7 @@ def slotted(table: DataFrame, starts: np.ndarray, key: int = KEY) -> DataFrame:
 
 
 def shards(table: DataFrame, n_sequences: int, per_shard: int = PER_SHARD) -> DataFrame:
-    """Rows of SHARD from all sequences' slots and ids: dealt by ranges of slots, each shard made by one task."""
+    """Rows of SHARD from all sequences' slots and compressed ids: dealt by ranges of slots, each shard made by one task."""
 
     def flush(rows: list[tuple[int, bytes]], shard: int) -> pd.DataFrame:
         data = b"".join(d for _, d in rows)
@@ -181,13 +185,14 @@ def shards(table: DataFrame, n_sequences: int, per_shard: int = PER_SHARD) -> Da
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, shard = [], -1
+        plain = zstandard.ZstdDecompressor().decompress
         for pdf in batches:
             for slot, data in zip(pdf["slot"], pdf["ids"], strict=True):
                 if slot // per_shard != shard:
                     if rows:
                         yield flush(rows, shard)
                     rows, shard = [], int(slot) // per_shard
-                rows.append((int(slot), data))
+                rows.append((int(slot), plain(data)))
         if rows:
             yield flush(rows, shard)
 
