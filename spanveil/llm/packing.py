@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,7 +50,14 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, separator: int
         out["doc_id"] = out["doc_id"].astype("Int64")
         return out
 
-    return texts_of(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(per_batch(run), PIECE + ", ids binary" * with_ids)
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Workers live on after their tasks, beside other stages': they keep no words."""
+        try:
+            yield from per_batch(run)(batches)
+        finally:
+            word_encoder(tokenizer).forget()
+
+    return texts_of(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(task, PIECE + ", ids binary" * with_ids)
 
 
 class Capacities:

@@ -44,6 +44,10 @@ class WordEncoder:
         self.words, self.older = {}, {}
         self.tokens: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Drops the words remembered so far."""
+        self.words, self.older, self.tokens = {}, {}, {}
+
     def _library(self, text: str) -> bytes:
         import numpy as np
 

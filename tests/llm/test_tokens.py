@@ -10,10 +10,10 @@ import public_tokenizers
 import sentencepiece
 from tokenizers import Tokenizer
 
-from spanveil.llm.packing import best_fit, op2_packing, pack
+from spanveil.llm.packing import best_fit, op2_packing, pack, pieces
 from spanveil.llm.token_counts import Machine, count_tokens
 from spanveil.llm.training_order import SHARD, bucket_count, export_shards, materialise, permute, read_from, sequences, slotted, starts_of_buckets
-from spanveil.llm.words import WordEncoder
+from spanveil.llm.words import WordEncoder, word_encoder
 
 DATA = Path("/root/testdata")
 
@@ -138,6 +138,18 @@ def test_packing_of_odd_rows(documents, odd_rows, empty):
     assert pack(documents([(1, "a b c")]), with_ids=True).first().ids[-4:] == b"\x01\x00\x00\x00"
 
 
+def test_workers_keep_no_words_after_their_tasks(spark, documents):
+    def kept(batches):
+        for pdf in batches:
+            pdf["id"] = len(word_encoder(WORDS).words) + len(word_encoder(WORDS).tokens)
+            yield pdf
+
+    docs = documents([(i, f"some words of row {i}") for i in range(40)])
+    assert len(pieces(docs.repartition(4), WORDS).collect()) == 40
+    # the same workers take these tasks
+    assert {r[0] for r in spark.range(0, 40, 1, 8).mapInPandas(kept, "id long").collect()} == {0}
+
+
 def test_permutation_is_one():
     for n in (1, 2, 3, 5, 17, 1000, 4097):
         p = permute(np.arange(n), n)
