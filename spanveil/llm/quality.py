@@ -40,6 +40,8 @@ QUANTILE, FEWEST, HELD_OUT = 0.99, 30, 10
 BY_ROOT, LEAST_BLOCK, BLOCK = 1024, 8 << 20, 64 << 20
 #: Code points that are looked at together.
 PIECE = 1 << 21
+#: Of these so many are hashed at a time, which a core's cache holds.
+CACHED = 1 << 14
 #: What goes to a block, in this order: logarithms by place, trusted ids, documents.
 SCORE, TRUSTED, DOCUMENT = 0, 1, 2
 DEALT = "block int, kind int, doc_id long, lang string, data binary, j int, logp float"
@@ -47,13 +49,59 @@ DEALT = "block int, kind int, doc_id long, lang string, data binary, j int, logp
 
 def hashed(x: np.ndarray, order: int) -> np.ndarray:
     """64-bit hashes of all strings of so many code points."""
-    n = len(x) - order + 1
-    h = np.zeros(max(n, 0), dtype=np.uint64)
+    out = np.empty(max(len(x) - order + 1, 0), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(order):
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + x[k : k + len(h)].astype(np.uint64)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+        for at in range(0, len(out), CACHED):
+            h = out[at : at + CACHED]
+            part = x[at : at + len(h) + order - 1].astype(np.uint64)
+            h[:] = part[: len(h)]
+            for k in range(1, order):
+                h ^= h >> np.uint64(29)
+                h *= np.uint64(0x9E3779B97F4A7C15)
+                h += part[k : k + len(h)]
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+    return out
+
+
+def distinct_sorted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and how often each comes."""
+    h = np.sort(h)
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, dtype=np.int64)
+    return h[first], np.diff(np.append(first, len(h)))
+
+
+def places_in(known: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """A function of hashes that are all in known (sorted, distinct): their places. Hashes are spread evenly, so their first bits nearly tell."""
+    bits = len(known).bit_length() + 1
+    shift = np.uint64(64 - bits)
+    near = np.searchsorted(known, np.arange(1 << bits, dtype=np.uint64) << shift).astype(np.int32)
+
+    def places(h: np.ndarray) -> np.ndarray:
+        at = near[h >> shift]
+        off = np.flatnonzero(known[at] != h)
+        while len(off):
+            at[off] += 1
+            off = off[known[at[off]] != h[off]]
+        return at
+
+    return places
+
+
+def some_places_of(wanted: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Of each wanted hash (sorted, distinct, all in h) a place in h that has it."""
+    out = np.zeros(len(wanted), dtype=np.int64)
+    if len(wanted):
+        bits = len(wanted).bit_length() + 3
+        shift = np.uint64(64 - bits)
+        marked = np.zeros(1 << bits, dtype=bool)
+        marked[wanted >> shift] = True
+        may = np.flatnonzero(marked[h >> shift])
+        at = np.minimum(np.searchsorted(wanted, h[may]), len(wanted) - 1)
+        same = wanted[at] == h[may]
+        out[at[same]] = may[same]
+    return out
 
 
 def pieces(texts: Iterable[str], order: int = ORDER) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]]:
@@ -93,28 +141,31 @@ def gram_strings(x: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
 
 def distinct_grams(texts: list[str], learn: list[bool], order: int = ORDER) -> pd.DataFrame:
     """j, gram and n of the distinct n-grams of texts: their places by hash, and how often texts to learn from have them."""
-    hashes, grams, counts = [], [], []
+    known, grams, counts = np.empty(0, dtype=np.uint64), np.empty(0, dtype=object), np.empty(0, dtype=np.int64)
     for part in (True, False):
         for x, starts, _ in pieces((t for t, own in zip(texts, learn, strict=True) if own is part), order):
-            h, first, n = np.unique(hashed(x, order)[starts], return_index=True, return_counts=True)
-            hashes.append(h)
-            grams.append(gram_strings(x, starts[first], order))
-            counts.append(n if part else np.zeros(len(n), dtype=np.int64))
-    if not hashes:
-        return pd.DataFrame({"j": [], "gram": [], "n": []})
-    h, first, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-    n = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(h)).astype(np.int64)
-    return pd.DataFrame({"j": np.arange(len(h)), "gram": np.concatenate(grams)[first], "n": n})
+            own = hashed(x, order)[starts]
+            h, n = distinct_sorted(own)
+            at = np.searchsorted(known, h)
+            old = at < len(known)
+            old[old] = known[at[old]] == h[old]
+            if part:
+                counts[at[old]] += n[old]
+            # only new ones become strings
+            new, at, n = h[~old], at[~old], n[~old]
+            known, counts = np.insert(known, at, new), np.insert(counts, at, n if part else 0)
+            grams = np.insert(grams, at, gram_strings(x, starts[some_places_of(new, own)], order))
+    return pd.DataFrame({"j": np.arange(len(known)), "gram": grams, "n": counts})
 
 
 def sums_of(texts: list[str], scores: np.ndarray, order: int = ORDER) -> np.ndarray:
     """Of each text the sum over its signs of the score at the place of the n-gram that ends there."""
     known = np.empty(0, dtype=np.uint64)
     for x, starts, _ in pieces(texts, order):
-        known = np.union1d(known, hashed(x, order)[starts])
-    out = np.zeros(len(texts))
+        known = distinct_sorted(np.concatenate([known, distinct_sorted(hashed(x, order)[starts])[0]]))[0]
+    places, out = places_in(known), np.zeros(len(texts))
     for x, starts, owners in pieces(texts, order):
-        own = scores[np.searchsorted(known, hashed(x, order)[starts])].astype(np.float64)
+        own = scores[places(hashed(x, order)[starts])].astype(np.float64)
         ends = np.cumsum([n for _, n in owners])
         np.add.at(out, [number for number, _ in owners], np.add.reduceat(own, ends - [n for _, n in owners]))
     return out

@@ -192,6 +192,29 @@ def test_pieces_of_long_texts(monkeypatch):
     assert quality.sums_of(texts, scores).tolist() == [sum(place[g] for g in grams_of(t)) for t in texts]
 
 
+def test_ngrams_become_strings_once(monkeypatch):
+    texts = [f"the same few words come again, {i % 3}" for i in range(200)]
+    made = []
+    strings = quality.gram_strings
+    monkeypatch.setattr(quality, "PIECE", 500)
+    monkeypatch.setattr(quality, "gram_strings", lambda x, starts, order: made.append(len(starts)) or strings(x, starts, order))
+    found = quality.distinct_grams(texts, [i % 2 == 0 for i in range(200)])
+    plain, learned = Counter(), Counter()
+    for i, t in enumerate(texts):
+        plain.update(grams_of(t))
+        learned.update(grams_of(t) if i % 2 == 0 else [])
+    assert dict(zip(found["gram"], found["n"], strict=True)) == {g: learned[g] for g in plain}
+    assert sum(made) == len(found)
+
+
+def test_places_of_hashes():
+    known = np.unique(np.concatenate([np.random.default_rng(3).integers(0, 1 << 64, 5000, dtype=np.uint64), np.arange(40, dtype=np.uint64), (1 << 64) - 1 - np.arange(40, dtype=np.uint64)]))
+    h = np.random.default_rng(4).choice(known, 20_000)
+    assert (quality.places_in(known)(h) == np.searchsorted(known, h)).all()
+    wanted = np.unique(h[::7])
+    assert (h[quality.some_places_of(wanted, h)] == wanted).all()
+
+
 def test_probabilities_add_up(spark):
     texts = ["some text to learn from, twice over.", "and Another one 123"]
     counts = Counter(g for t in texts for g in grams_of(t))
