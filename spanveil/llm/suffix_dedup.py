@@ -36,8 +36,8 @@ from .common import cut, discard, per_batch, read_table, texts_of
 LENGTH, K = 50, 20
 #: Bytes of a shard, and shards merged at a time: what a core's cache holds.
 SHARD, SHARDS = 1 << 14, 4
-#: Characters by which a round refines the interleave.
-STEP = 2
+#: The most characters by which a round refines the interleave.
+STEP = 5
 #: Bytes of an anchor's unlike segments up to which one task merges them as they are (it needs some 60 bytes of memory for each), and the places before the
 #: anchor that the segments of others are cut up by.
 MERGED, NEAR = 4 << 20, 4
@@ -84,8 +84,8 @@ def anchors(data: bytes, length: int = LENGTH, k: int = K) -> tuple[np.ndarray,
     return low[first], first, np.diff(np.concatenate([first, [len(low)]]))
 
 
-def build_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The transform of a shard: for its suffixes in order, the STEP characters before each (read cyclically within its string, as one number
+def build_bwt(strings: list[bytes], step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The transform of a shard: for its suffixes in order, the step characters before each (read cyclically within its string, as one number
     that keeps their order), and the string and offset it starts at.
 
     Each string ends in a sign below all characters, the sooner string's below the later's.  Characters stand for themselves plus one, the end for 0.
@@ -113,43 +113,51 @@ def build_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         later[left <= width] = 0
         rank = _ranks(rank * (len(data) + 1) + later)
         width *= 2
-    order = np.argsort(rank, kind="stable")
+    order = np.empty(len(data), dtype=np.int64)
+    order[rank] = np.arange(len(data))  # the ends' order tells all suffixes apart
     number = np.zeros(len(data), dtype=np.int64)
-    for k in range(STEP, 0, -1):
+    for k in range(step, 0, -1):
         number = number * 257 + codes[begins + (offset - k) % length]
     return number[order], owner[order], offset[order]
 
 
 def _ranks(key: np.ndarray, tie: np.ndarray | None = None) -> np.ndarray:
     """Dense ranks; with tie, equal keys rank by it."""
-    order = np.argsort(key, kind="stable") if tie is None else np.lexsort((tie, key))
+    if tie is not None:
+        key = _ranks(key) * (int(tie.max()) + 2) + tie + 1
+    order = np.argsort(key)
     k = key[order]
     new = np.empty(len(key), dtype=bool)
     new[0] = False
     new[1:] = k[1:] != k[:-1]
-    if tie is not None:
-        t = tie[order]
-        new[1:] |= t[1:] != t[:-1]
     rank = np.empty(len(key), dtype=np.int64)
     rank[order] = np.cumsum(new)
     return rank
 
 
-def merge_bwts(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def _radix_order(letters: np.ndarray) -> np.ndarray:
+    """A stable order by linear passes over 16 bits each."""
+    if letters.dtype == np.uint16:
+        return np.argsort(letters, kind="stable")
+    order = np.argsort(letters.astype(np.uint16), kind="stable")
+    return order[np.argsort((letters >> np.uint32(16)).astype(np.uint16)[order], kind="stable")]
+
+
+def merge_bwts(transforms: list[np.ndarray], rounds: int, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
     """The interleave of transforms after so many rounds of refinement, and whether each merged suffix begins a new interval: it shares fewer than
-    rounds * STEP characters with the one before it.
+    rounds * step characters with the one before it.
 
-    In round k the interleave orders suffixes by their first k * STEP characters.  The next round puts what precedes each suffix by STEP characters, which the
+    In round k the interleave orders suffixes by their first k * step characters.  The next round puts what precedes each suffix by step characters, which the
     transform tells, into the bucket of those characters, in the order of the suffixes: a stable sort.  An end shares nothing with another.
     """
     sizes = [len(t) for t in transforms]
     source = np.repeat(np.arange(len(transforms), dtype=np.uint8), sizes)
     joined = np.concatenate(transforms)
-    # the numbers in use, so that they fit 16 bits and sort by radix; more of them sort as they are
+    # the numbers in use, so that they fit 16 bits, or twice 16, and sort by radix
     used = np.unique(joined)
     has_end = np.zeros(len(used), dtype=bool)
     rest = used.copy()
-    for _ in range(STEP):
+    for _ in range(step):
         has_end |= rest % 257 == 0
         rest //= 257
     kind = np.uint16 if len(used) < 1 << 16 else np.uint32
@@ -159,7 +167,7 @@ def merge_bwts(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, n
     new = np.empty(len(source), dtype=bool)
     for _ in range(rounds):
         letters[np.argsort(source, kind="stable")] = joined
-        order = np.argsort(letters, kind="stable")
+        order = _radix_order(letters)
         moved, letter, source = block[order], letters[order], source[order]
         new[0] = True
         np.not_equal(letter[1:], letter[:-1], out=new[1:])
@@ -170,15 +178,16 @@ def merge_bwts(transforms: list[np.ndarray], rounds: int) -> tuple[np.ndarray, n
 
 
 def least_by_interval(strings: list[bytes], docs: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For every start of each string that has ``length`` bytes (a multiple of STEP), the least of the docs whose strings hold those bytes."""
+    """For every start of each string that has ``length`` bytes, the least of the docs whose strings hold those bytes."""
+    step = next(k for k in range(STEP, 0, -1) if length % k == 0)
     sizes = np.asarray([len(s) for s in strings])
     most = max(SHARD, -(-int(sizes.sum()) // SHARDS))
     shards, at, ends = [], 0, np.cumsum(sizes)
     while at < len(strings):
         end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
-        shards.append((at, build_bwt(strings[at:end])))
+        shards.append((at, build_bwt(strings[at:end], step)))
         at = end
-    source, new = merge_bwts([t for _, (t, _, _) in shards], length // STEP)
+    source, new = merge_bwts([t for _, (t, _, _) in shards], length // step, step)
     place = np.argsort(source, kind="stable")
     owner, offset = np.empty(len(source), dtype=np.int64), np.empty(len(source), dtype=np.int64)
     owner[place] = np.concatenate([own + first for first, (_, own, _) in shards])

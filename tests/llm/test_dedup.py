@@ -268,6 +268,22 @@ def test_merged_transforms():
         suffix_dedup.SHARD = old
 
 
+@pytest.mark.parametrize("length", [3, 5, 10, 50])
+def test_merged_transforms_at_other_lengths(length):
+    rng = random.Random(length)
+    # long enough strings of few letters, and more groups of letters than 16 bits tell apart
+    few = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 90))) * 2 for _ in range(40)]
+    many = few + [rng.randbytes(3000) for _ in range(30)]
+    for strings in (few, many + [s[500:1500] for s in many]):
+        docs = np.array([rng.randint(0, 20) for _ in strings])
+        plain: dict[bytes, int] = {}
+        for s, d in zip(strings, docs, strict=True):
+            for i in range(len(s) - length + 1):
+                plain[s[i : i + length]] = min(d, plain.get(s[i : i + length], d))
+        for s, least in zip(strings, least_by_interval(strings, docs, length), strict=True):
+            assert least.tolist() == [plain[s[i : i + length]] for i in range(len(s) - length + 1)]
+
+
 @pytest.mark.parametrize("strings", [[b"banana"], [b"abab", b"ab", b"b"], [b"a"]])
 def test_a_shards_transform(strings):
     _, owner, offset = build_bwt(strings)
